@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotide.functions.timefn import add_seconds, iso_format, lenient_ts, seconds_between
+from geotide.functions.timefn import iso_format, lenient_ts, seconds_between
 
 # Trajectories are stored in chunks of at most this many seconds of a session,
 # so the array built for one row is bounded by time, never by a client's volume.
@@ -50,16 +50,18 @@ def trajectory_points(trajectories: DataFrame) -> DataFrame:
 
 
 def dwell_time(points: DataFrame) -> DataFrame:
-    """Seconds to the next point of the same session (0 for the last point).
+    """Time to the next point of the same session (0 for the last point).
 
-    Adds ``next_time`` and ``time_spent``.  The window is keyed by
-    (client, session); a session is bounded by its time window.
+    Adds ``next_time``, ``dwell_us`` (whole microseconds, exact) and
+    ``time_spent`` (seconds).  The window is keyed by (client, session); a
+    session is bounded by its time window, so no window group is unbounded.
     """
     w = Window.partitionBy("client_id", "session_id").orderBy(
         F.col("timestamp").asc(), F.col("lat").asc(), F.col("lon").asc(), F.col("speed").asc_nulls_last())
     nxt = F.lead("timestamp").over(w)
-    return points.withColumn("next_time", nxt).withColumn(
-        "time_spent", F.coalesce(seconds_between(F.col("next_time"), F.col("timestamp")), F.lit(0.0)))
+    us = F.coalesce(F.timestamp_diff("MICROSECOND", F.col("timestamp"), F.col("next_time")), F.lit(0).cast("long"))
+    return points.withColumn("next_time", nxt).withColumn("dwell_us", us) \
+        .withColumn("time_spent", F.col("dwell_us") / F.lit(1e6))
 
 
 # Fixed values of POI detection.
@@ -72,7 +74,8 @@ def detect_pois(points: DataFrame, min_time: float = POI_MIN_DWELL_S,
     """B1: visits where the dwell exceeds ``min_time`` or the speed is below the threshold.
 
     ``poi_rank`` is the total dwell of all candidate visits of the client at
-    the same exact coordinates (G10).  Output is de-duplicated.
+    the same exact coordinates (G10), summed in whole microseconds so the
+    result does not depend on summation order.  Output is de-duplicated.
     """
     p = points.where(F.col("timestamp").isNotNull())
     p = dwell_time(p)
@@ -80,13 +83,13 @@ def detect_pois(points: DataFrame, min_time: float = POI_MIN_DWELL_S,
     # G10 as aggregate + join (map-side combined) rather than a window, so a
     # hot coordinate is summed partially before the shuffle.
     rank = cand.groupBy(F.col("client_id").alias("__c"), F.col("lat").alias("__la"),
-                        F.col("lon").alias("__lo")).agg(F.sum("time_spent").alias("poi_rank"))
+                        F.col("lon").alias("__lo")).agg((F.sum("dwell_us") / F.lit(1e6)).alias("poi_rank"))
     cand = cand.join(rank, cand["client_id"].eqNullSafe(rank["__c"]) & cand["lat"].eqNullSafe(rank["__la"])
                      & cand["lon"].eqNullSafe(rank["__lo"]))
     out = cand.select(
         "client_id", "lat", "lon", "time_spent", "poi_rank",
         F.col("timestamp").alias("poi_created_at"), F.col("timestamp").alias("visit_start"),
-        add_seconds(F.col("timestamp"), F.col("time_spent")).alias("visit_end"),
+        F.timestamp_add("MICROSECOND", F.col("dwell_us"), F.col("timestamp")).alias("visit_end"),
         F.col("time_spent").cast("long").alias("duration_seconds"))
     return out.distinct()
 

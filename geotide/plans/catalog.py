@@ -187,3 +187,26 @@ def q_predicted_poi_nearest_stop(t):
 def q_next_feasible_departure(t):
     c = views.departure_candidates(t.astar_routes, t.trip_updates, t.gtfs_trips)
     return views.next_feasible_departure_per_client(c, AS_OF)
+
+
+# ------------------------------------------------------------ behaviour -----
+
+def _session_points(t: MobilityTables) -> DataFrame:
+    from geotide.operators.joins import sessionize_by_window
+    return sessionize_by_window(t.geodata, t.mqtt_sessions)
+
+
+@query("detect_pois")
+def q_detect_pois(t):
+    """B1 over the points inside their session windows (what trajectories hold)."""
+    from geotide.operators.behaviour import detect_pois
+    return detect_pois(_session_points(t))
+
+
+@query("detect_hotspots")
+def q_detect_hotspots(t):
+    """B5 over trajectory points UNION ALL POIs."""
+    from geotide.operators.behaviour import trajectory_points
+    from geotide.operators.clustering import detect_hotspots
+    from geotide.operators.setops import hotspot_input
+    return detect_hotspots(hotspot_input(trajectory_points(t.trajectories), t.pois))

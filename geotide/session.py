@@ -58,3 +58,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df, tag: str = "step"):
+    """Cut lineage: write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    One job, columnar storage, and a reliable copy that survives executor
+    loss (unlike a local checkpoint).  Used between rounds of iterative
+    operators.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/geotide-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
