@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotide.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE_RADIUS, planar_deg
-from geotide.operators.spatial import within_radius
+from geotide.operators.spatial import within_planar, within_radius
 from geotide.session import checkpoint_dir, materialize
 
 # Fixed values of hotspot detection: eps of 0.005 radians on the unit sphere
@@ -66,8 +66,8 @@ def _label_components(nodes: DataFrame, edges: DataFrame, key: list[str], max_ro
 
 def density_cluster(points: DataFrame, eps_m: float, min_samples: int, key: str = "client_id",
                     max_rounds: int = MAX_LABEL_ROUNDS, weight_col: str | None = None,
-                    carry: dict | None = None) -> DataFrame:
-    """DBSCAN labels per ``key`` with sphere (haversine) distance ``eps_m``.
+                    carry: dict | None = None, metric: str = "sphere") -> DataFrame:
+    """DBSCAN labels per ``key``; ``metric`` 'sphere' (eps in metres) or 'planar' (eps in degrees).
 
     ``points`` needs ``key``, ``lat``, ``lon``.  Returns one row per distinct
     (key, lat, lon) with ``weight`` (multiplicity), ``is_core`` and ``label``
@@ -84,9 +84,13 @@ def density_cluster(points: DataFrame, eps_m: float, min_samples: int, key: str
     coords = materialize(coords)
     other = coords.select(F.col(key).alias("__k2"), F.col("lat").alias("__lat2"), F.col("lon").alias("__lon2"),
                           F.col("weight").alias("__w2"))
-    pairs = materialize(within_radius(coords, other, "lat", "lon", "__lat2", "__lon2", eps_m, metric="sphere",
-                                      extra_on=[(key, "__k2")], dist_name="__d")
-                        .select(key, "lat", "lon", "__k2", "__lat2", "__lon2", "__w2"))
+    if metric == "planar":
+        pj = within_planar(coords, other, "lat", "lon", "__lat2", "__lon2", eps_m, extra_on=[(key, "__k2")],
+                           dist_name="__d")
+    else:
+        pj = within_radius(coords, other, "lat", "lon", "__lat2", "__lon2", eps_m, metric="sphere",
+                           extra_on=[(key, "__k2")], dist_name="__d")
+    pairs = materialize(pj.select(key, "lat", "lon", "__k2", "__lat2", "__lon2", "__w2"))
     cnt = pairs.groupBy(key, "lat", "lon").agg(F.sum("__w2").alias("__nw"))
     pts = materialize(coords.join(cnt, [key, "lat", "lon"], "left")
                       .withColumn("is_core", F.coalesce(F.col("__nw"), F.lit(0)) >= F.lit(min_samples))

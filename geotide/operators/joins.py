@@ -23,12 +23,10 @@ from pyspark.sql import functions as F
 from geotide.functions.timefn import add_seconds, seconds_between
 from geotide.operators.latest import asc, desc, top_k_per_key
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
 
 def epoch_micros(ts) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", _EPOCH, c)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
 
 
 def _bucket_of(ts, bucket_s: int) -> Column:

@@ -210,3 +210,295 @@ def q_detect_hotspots(t):
     from geotide.operators.clustering import detect_hotspots
     from geotide.operators.setops import hotspot_input
     return detect_hotspots(hotspot_input(trajectory_points(t.trajectories), t.pois))
+
+
+# ------------------------------------------------- aggregates / windows -----
+
+from geotide.operators import behaviour as _bh  # noqa: E402
+from geotide.operators import joins as _jn  # noqa: E402
+from geotide.operators import predictions as _pr  # noqa: E402
+from geotide.operators import routing as _rt  # noqa: E402
+from geotide.operators import setops as _so  # noqa: E402
+from geotide.operators import spatial as _sp  # noqa: E402
+
+
+def _candidates(t):
+    return views.departure_candidates(t.astar_routes, t.trip_updates, t.gtfs_trips)
+
+
+def _history(t):
+    return views.routes_history(t.optimized_routes, t.reroutes)
+
+
+@query("client_last_seen")
+def q_client_last_seen(t):
+    """G1."""
+    return views.client_last_seen(t.geodata)
+
+
+@query("route_usage_ratios")
+def q_route_usage_ratios(t):
+    """G4."""
+    return _rt.route_usage_ratios(t.optimized_routes)
+
+
+@query("favourite_routes")
+def q_favourite_routes(t):
+    """G6 over the departure candidates."""
+    return _rt.favourite_routes(_candidates(t))
+
+
+@query("distinct_clients")
+def q_distinct_clients(t):
+    """G8."""
+    return _bh.distinct_clients(t.geodata)
+
+
+@query("recent_clients")
+def q_recent_clients(t):
+    """Clients among the latest trajectories."""
+    return _bh.distinct_clients(views.latest_client_trajectories(t.trajectories))
+
+
+@query("poi_count")
+def q_poi_count(t):
+    """G9."""
+    return _bh.poi_count(t.pois)
+
+
+@query("poi_rank_total")
+def q_poi_rank_total(t):
+    """Total dwell per (client, lat, lon) on every POI row."""
+    return _bh.poi_rank(t.pois).select("poi_id", "client_id", "lat", "lon",
+                                       F.round("poi_rank", 6).alias("poi_rank_total"))
+
+
+@query("median_dwell")
+def q_median_dwell(t):
+    """G11."""
+    return _bh.median_dwell(t.pois).select("client_id", F.round("median_dwell", 6).alias("median_dwell"))
+
+
+@query("best_target_poi")
+def q_best_target_poi(t):
+    """L2 over the combined POIs."""
+    return _rt.best_target_poi(views.combined_pois(t.pois, t.predicted_pois_sequence), AS_OF)
+
+
+@query("best_departure")
+def q_best_departure(t):
+    """L3 over the departure candidates."""
+    return _rt.best_departure(_candidates(t))
+
+
+@query("latest_speed")
+def q_latest_speed(t):
+    """L5."""
+    return _rt.latest_speed(t.geodata)
+
+
+@query("od_vectors")
+def q_od_vectors(t):
+    """U5."""
+    return _so.od_vectors(t.astar_routes, t.mapf_routes)
+
+
+@query("hotspot_input")
+def q_hotspot_input(t):
+    """Trajectory points UNION ALL POIs."""
+    return _so.hotspot_input(_bh.trajectory_points(t.trajectories), t.pois)
+
+
+@query("trajectory_points")
+def q_trajectory_points(t):
+    """All trajectory points (G7 then explode)."""
+    return _bh.trajectory_points(t.trajectories)
+
+
+@query("route_sessions")
+def q_route_sessions(t):
+    """Valid optimized routes and reroutes with their as-of session."""
+    cols = ["client_id", "stop_id", "destination_lat", "destination_lon", "segment_type", "created_at"]
+    o = t.optimized_routes.where(F.col("is_valid")).select(*cols, F.lit(0).alias("src"), "id")
+    r = t.reroutes.select(*cols, F.lit(1).alias("src"), "id")
+    return _jn.session_asof(o.unionByName(r), t.mqtt_sessions, ["src", "id"]) \
+        .withColumnRenamed("asof_session_id", "session_id")
+
+
+@query("session_points")
+def q_session_points(t):
+    """J6."""
+    return _jn.sessionize_by_window(t.geodata, t.mqtt_sessions).select(
+        "id", "session_id", "client_id", "timestamp", "start_time", "end_time")
+
+
+@query("trip_updates_with_trip")
+def q_trip_updates_with_trip(t):
+    """J12 (semi): trip updates whose trip is known."""
+    return _jn.referential_split(t.trip_updates, t.gtfs_trips, ["trip_id"])[0]
+
+
+@query("astar_routes_unknown_stop")
+def q_astar_routes_unknown_stop(t):
+    """J12 (anti): A* routes whose stop is not a known stop."""
+    return _no_path(_jn.referential_split(t.astar_routes, t.gtfs_stops, ["stop_id"])[1])
+
+
+@query("pattern_proximity")
+def q_pattern_proximity(t):
+    """J14."""
+    return _sp.pattern_proximity(t.pois, t.user_patterns).select("poi_id", "client_id", "pattern_matches",
+                                                                  "pattern_weight")
+
+
+@query("poi_match")
+def q_poi_match(t):
+    """Each pattern with the client's closest own POI within 30 m."""
+    return _sp.poi_match(t.user_patterns, t.pois, ["pattern_id"]).select("pattern_id", "client_id",
+                                                                         "matched_poi_id")
+
+
+@query("client_target_route")
+def q_client_target_route(t):
+    """Each client's best target with the newest unified route ending there."""
+    tgt = _rt.best_target_poi(views.combined_pois(t.pois, t.predicted_pois_sequence), AS_OF) \
+        .select("client_id", "lat", "lon")
+    j = _jn.client_target_route(tgt, views.routes_unified(t.optimized_routes, t.reroutes))
+    return j.select("client_id", "lat", "lon", "route_stop_id", "route_segment_type", "route_created_at")
+
+
+@query("switch_profile_lookup")
+def q_switch_profile_lookup(t):
+    """J16."""
+    return _jn.switch_profile_lookup(_candidates(t), t.client_switch_profiles) \
+        .select("client_id", "stop_id", "trip_id", "predicted_eta", "avg_switch_seconds")
+
+
+@query("has_departure")
+def q_has_departure(t):
+    """Multimodal optimized routes whose (client, stop) has a departure candidate."""
+    c = _candidates(t).select(F.col("client_id").alias("__c"), F.col("stop_id").alias("__s"))
+    o = t.optimized_routes.where(F.col("segment_type") == "multimodal")
+    return _no_path(o.join(c, (o["client_id"] == c["__c"]) & (o["stop_id"] == c["__s"]), "left_semi"))
+
+
+@query("dwell_time")
+def q_dwell_time(t):
+    """W6 over the session points."""
+    return _bh.dwell_time(_session_points(t)).select("id", "client_id", "session_id", "timestamp", "time_spent")
+
+
+@query("score_pois")
+def q_score_pois(t):
+    """B2 (daily decay)."""
+    return _pr.score_pois(t.pois, t.user_patterns, AS_OF, "daily").select(
+        "poi_id", "client_id", F.round("poi_score", 6).alias("poi_score"))
+
+
+@query("visit_clock")
+def q_visit_clock(t):
+    """Predicted visit times of the scored sequence."""
+    s = _pr.visit_clock(_pr.score_pois(t.pois, t.user_patterns, AS_OF, "daily"), AS_OF)
+    return s.select("poi_id", "client_id", "seq", "predicted_visit_time")
+
+
+@query("predict_visits")
+def q_predict_visits(t):
+    """B3 (daily)."""
+    return _pr.predict_visits(t.pois, t.user_patterns, AS_OF, "daily")
+
+
+@query("consecutive_legs")
+def q_consecutive_legs(t):
+    """Consecutive weekly predictions per (client, weekday)."""
+    from geotide.functions.timefn import weekday_name
+    p = t.predicted_pois_sequence.where(F.col("prediction_type") == "weekly").select(
+        "client_id", "id", F.col("predicted_lat").alias("lat"), F.col("predicted_lon").alias("lon"),
+        F.col("predicted_visit_time").alias("ts")).withColumn("visit_day", weekday_name(F.col("ts")))
+    return _rt.consecutive_legs(p.withColumn("ord", F.struct("ts", "id")), ["client_id", "visit_day"], "ord") \
+        .drop("ord")
+
+
+def _targets(t):
+    return _rt.best_target_poi(views.combined_pois(t.pois, t.predicted_pois_sequence), AS_OF) \
+        .select("client_id", "lat", "lon")
+
+
+def _choice(t):
+    return _rt.choose_route(_targets(t), t.astar_routes, t.mapf_routes, _candidates(t), t.client_switch_profiles,
+                            t.optimized_routes, t.geodata, AS_OF)
+
+
+@query("choose_route")
+def q_choose_route(t):
+    """B12 (heuristic path; the model path needs a scores frame, V1)."""
+    return _choice(t).withColumn("path_points", F.size("path")).drop("path")
+
+
+@query("reroute_reasons")
+def q_reroute_reasons(t):
+    """B13 for the live chosen route of every settled client."""
+    live = views.routes_live(_history(t))
+    pos = _rt.latest_locations(t.geodata, AS_OF)
+    return _rt.reroute_reasons(live, pos, _candidates(t), AS_OF)
+
+
+@query("reroute_events")
+def q_reroute_events(t):
+    """Live route before vs the new decision, for clients with a reroute reason."""
+    live = views.routes_live(_history(t))
+    pos = _rt.latest_locations(t.geodata, AS_OF)
+    reasons = _rt.reroute_reasons(live, pos, _candidates(t), AS_OF).where(F.col("reason").isNotNull())
+    ev = _rt.reroute_events(live, _choice(t), reasons)
+    return ev.withColumn("path_points", F.size("path")).drop("path")
+
+
+def _weekly(t):
+    clients = _bh.distinct_clients(views.latest_client_trajectories(t.trajectories))
+    return _rt.weekly_schedule(t.predicted_pois_sequence, views.routes_unified(t.optimized_routes, t.reroutes),
+                               clients, "weekly")
+
+
+@query("weekly_schedule")
+def q_weekly_schedule(t):
+    """B15."""
+    return _weekly(t).withColumn("path_points", F.size("path")).drop("path")
+
+
+@query("client_weekly_schedule_enriched")
+def q_weekly_enriched(t):
+    """J18 over the B15 schedule."""
+    return views.client_weekly_schedule_enriched(_weekly(t), t.gtfs_stops).drop("path")
+
+
+@query("fresh_results")
+def q_fresh_results(t):
+    """B16."""
+    return _no_path(_rt.fresh_results(t.optimized_routes, t.reroutes, t.mqtt_sessions, AS_OF))
+
+
+@query("publish_payloads")
+def q_publish_payloads(t):
+    """K9 + T5 over all routes (the 60 s freshness filter is B16's)."""
+    cols = ["client_id", "stop_id", "destination_lat", "destination_lon", "path", "segment_type", "created_at"]
+    o = t.optimized_routes.where(F.col("is_valid")).select(*cols, F.lit(0).alias("src"), "id")
+    r = t.reroutes.select(*cols, F.lit(1).alias("src"), "id")
+    res = _jn.session_asof(o.unionByName(r), t.mqtt_sessions, ["src", "id"]) \
+        .withColumnRenamed("asof_session_id", "session_id")
+    return _rt.publish_payloads(res)
+
+
+@query("multimodal_candidates")
+def q_multimodal_candidates(t):
+    """B9 for the active clients."""
+    act = views.active_clients_geodata(t.geodata, AS_OF)
+    m = _rt.multimodal_candidates(act, t.astar_routes, AS_OF)
+    return m.withColumn("distance", F.round("distance", 3)).drop("path")
+
+
+@query("route_candidates")
+def q_route_candidates(t):
+    """B7 for every settled client."""
+    pos = _rt.latest_locations(t.geodata, AS_OF)
+    best = _rt.best_target_poi(views.combined_pois(t.pois, t.predicted_pois_sequence), AS_OF)
+    return _rt.route_candidates(pos, best, t.pois, t.gtfs_stops)
