@@ -502,3 +502,40 @@ def q_route_candidates(t):
     pos = _rt.latest_locations(t.geodata, AS_OF)
     best = _rt.best_target_poi(views.combined_pois(t.pois, t.predicted_pois_sequence), AS_OF)
     return _rt.route_candidates(pos, best, t.pois, t.gtfs_stops)
+
+
+# --------------------------------------------------------------- writes -----
+
+from geotide.operators import writes as _wr  # noqa: E402
+
+
+@query("retention_kept_astar")
+def q_retention_kept_astar(t):
+    """K6: A* routes kept by the 28-day TTL."""
+    return _no_path(_wr.retention_ttl(t.astar_routes, AS_OF)[0])
+
+
+@query("poi_arrival_update")
+def q_poi_arrival_update(t):
+    """K7: POI table after recording the arrivals detected by B1."""
+    return _wr.poi_arrival_update(t.pois, _bh.detect_pois(_session_points(t)))
+
+
+@query("validated_astar")
+def q_validated_astar(t):
+    """A* rows passing not-null and enum checks."""
+    return _no_path(_wr.validate_astar(t.astar_routes)[0])
+
+
+@query("upsert_hotspots")
+def q_upsert_hotspots(t):
+    """K2: stored hotspots merged with a fresh B5 detection."""
+    from geotide.operators.clustering import detect_hotspots
+    new = detect_hotspots(_so.hotspot_input(_bh.trajectory_points(t.trajectories), t.pois))
+    return _wr.upsert_hotspots(t.hotspots, new, AS_OF)
+
+
+@query("upsert_chosen_route")
+def q_upsert_chosen_route(t):
+    """K3: optimized routes merged with this round's decisions."""
+    return _no_path(_wr.upsert_chosen_route(t.optimized_routes, _choice(t), AS_OF))
