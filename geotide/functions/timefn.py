@@ -50,8 +50,8 @@ def epoch_seconds(ts) -> Column:
 
 
 def epoch_to_ts(seconds) -> Column:
-    """Unix seconds -> ``timestamp_ntz`` (UTC wall clock)."""
-    return F.timestamp_seconds(_c(seconds)).cast("timestamp_ntz")
+    """Unix seconds -> ``timestamp_ntz`` (UTC wall clock) (F7); independent of the session time zone."""
+    return F.timestamp_add("SECOND", _c(seconds).cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def lenient_ts(text) -> Column:

@@ -539,3 +539,67 @@ def q_upsert_hotspots(t):
 def q_upsert_chosen_route(t):
     """K3: optimized routes merged with this round's decisions."""
     return _no_path(_wr.upsert_chosen_route(t.optimized_routes, _choice(t), AS_OF))
+
+
+# -------------------------------------------------------------- sources -----
+
+from geotide.sources import gtfs as _gtfs  # noqa: E402
+from geotide.sources import gtfs_rt as _rtf  # noqa: E402
+from geotide.sources import telemetry as _tel  # noqa: E402
+
+
+def _messages(t):
+    return _tel.telemetry_messages(t.trajectories, t.mqtt_sessions)
+
+
+@query("telemetry_sessions")
+def q_telemetry_sessions(t):
+    """A1 + K1: sessions parsed from the telemetry messages (ids are K4 hashes, not shown)."""
+    return _tel.telemetry_sessions(_tel.telemetry_parse(_messages(t))).drop("session_id")
+
+
+@query("telemetry_points")
+def q_telemetry_points(t):
+    """A2: valid points parsed from the telemetry messages."""
+    return _tel.telemetry_points(_tel.telemetry_parse(_messages(t))).drop("session_id", "updated_at")
+
+
+def _bundle(t, member: str):
+    """Write the GTFS tables as a bundle under the shared checkpoint folder, read one member back."""
+    import uuid
+
+    from geotide.session import checkpoint_dir
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/gtfs-{uuid.uuid4().hex}"
+    _gtfs.write_gtfs_bundle({"gtfs_stops": t.gtfs_stops, "gtfs_routes": t.gtfs_routes, "gtfs_trips": t.gtfs_trips,
+                             "gtfs_stop_times": t.gtfs_stop_times}, folder)
+    return _gtfs.read_gtfs_bundle(t.spark, folder)[member]
+
+
+@query("gtfs_stops_csv")
+def q_gtfs_stops_csv(t):
+    """A6 + A12."""
+    return _bundle(t, "gtfs_stops")
+
+
+@query("gtfs_routes_csv")
+def q_gtfs_routes_csv(t):
+    """A7."""
+    return _bundle(t, "gtfs_routes")
+
+
+@query("gtfs_trips_csv")
+def q_gtfs_trips_csv(t):
+    """A8."""
+    return _bundle(t, "gtfs_trips")
+
+
+@query("gtfs_stop_times_csv")
+def q_gtfs_stop_times_csv(t):
+    """A9."""
+    return _bundle(t, "gtfs_stop_times")
+
+
+@query("rt_trip_updates")
+def q_rt_trip_updates(t):
+    """A4 over decoded feeds encoded from the trip updates."""
+    return _rtf.rt_trip_updates(_rtf.decode_feeds(_rtf.trip_update_feeds(t.trip_updates, AS_OF)))
