@@ -603,3 +603,48 @@ def q_gtfs_stop_times_csv(t):
 def q_rt_trip_updates(t):
     """A4 over decoded feeds encoded from the trip updates."""
     return _rtf.rt_trip_updates(_rtf.decode_feeds(_rtf.trip_update_feeds(t.trip_updates, AS_OF)))
+
+
+# ------------------------------------------------------------ streaming -----
+
+def _stream_folder(t, tag):
+    import uuid
+
+    from geotide.session import checkpoint_dir
+    return f"{checkpoint_dir(t.spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
+
+
+def _ingested(t, which: str):
+    from geotide.streaming import pipelines as sp
+    base = _stream_folder(t, "ingest")
+    _messages(t).write.mode("overwrite").json(f"{base}/in")
+    sessions, points = sp.stream_ingest(sp.read_telemetry_stream(t.spark, f"{base}/in"))
+    df = sessions if which == "sessions" else points
+    sp.run_available_now(df, f"{base}/out", f"{base}/ckpt")
+    return t.spark.read.parquet(f"{base}/out")
+
+
+@query("stream_ingest_sessions")
+def q_stream_ingest_sessions(t):
+    """Sessions from a file stream of telemetry messages (availableNow) == batch A1."""
+    return _ingested(t, "sessions").select("client_id", "start_time", "end_time")
+
+
+@query("stream_ingest_points")
+def q_stream_ingest_points(t):
+    """Points from a file stream of telemetry messages (availableNow) == batch A2."""
+    return _ingested(t, "points").select("client_id", "lat", "lon", "elevation", "speed", "activity", "timestamp")
+
+
+@query("stream_migrate_trajectories")
+def q_stream_migrate(t):
+    """Closed sessions migrated to trajectories by a watermarked streaming aggregation."""
+    from geotide.streaming import pipelines as sp
+    base = _stream_folder(t, "migrate")
+    pts = _session_points(t).select("client_id", "session_id", "lat", "lon", "elevation", "speed", "activity",
+                                    "timestamp", "start_time", "end_time")
+    pts.write.mode("overwrite").parquet(f"{base}/in")
+    src = t.spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sp.run_available_now(sp.stream_migrate(src), f"{base}/out", f"{base}/ckpt")
+    out = t.spark.read.parquet(f"{base}/out")
+    return out.withColumn("n_points", F.size("trajectory")).drop("trajectory")
