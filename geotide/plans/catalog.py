@@ -648,3 +648,42 @@ def q_stream_migrate(t):
     sp.run_available_now(sp.stream_migrate(src), f"{base}/out", f"{base}/ckpt")
     out = t.spark.read.parquet(f"{base}/out")
     return out.withColumn("n_points", F.size("trajectory")).drop("trajectory")
+
+
+# ------------------------------------------------------------- features -----
+
+from geotide.operators import features as _ft  # noqa: E402
+
+
+def _training(t):
+    return _ft.training_vectors(t.gtfs_stops, t.vehicle_arrivals, t.trajectories)
+
+
+@query("training_vectors")
+def q_training_vectors(t):
+    """U6 (+F14)."""
+    return _training(t)
+
+
+@query("feature_scaler")
+def q_feature_scaler(t):
+    """G13 over the training vectors."""
+    cols = ["lat", "lon", "hour"]
+    st = _ft.feature_scaler(_training(t), cols)
+    return st.select(*[F.round(c, 6).alias(c) for c in st.columns])
+
+
+@query("sequence_windows")
+def q_sequence_windows(t):
+    """60-row history windows over the time-ordered training vectors."""
+    w = _ft.sequence_windows(_training(t))
+    return w.select("idx", F.size("window").alias("steps"), "label_lat", "label_lon")
+
+
+@query("sequence_pad")
+def q_sequence_pad(t):
+    """Each client's last 60 points as a left-padded feature sequence."""
+    g = t.geodata.select("client_id", "timestamp", "lat", "lon", "speed",
+                         (F.hour("timestamp") / F.lit(23.0)).alias("hour"))
+    s = _ft.sequence_pad(g, features=("hour", "speed", "lat", "lon"))
+    return s.select("client_id", F.size("sequence").alias("steps"))
