@@ -687,3 +687,25 @@ def q_sequence_pad(t):
                          (F.hour("timestamp") / F.lit(23.0)).alias("hour"))
     s = _ft.sequence_pad(g, features=("hour", "speed", "lat", "lon"))
     return s.select("client_id", F.size("sequence").alias("steps"))
+
+
+@query("movement_patterns")
+def q_movement_patterns(t):
+    """B6 over all trajectory points."""
+    from geotide.operators.patterns import movement_patterns
+    return movement_patterns(_bh.trajectory_points(t.trajectories))[0]
+
+
+@query("shortest_paths")
+def q_shortest_paths(t):
+    """Least-length paths for the B7 routing targets over the movement graph of the telemetry."""
+    from geotide.operators.paths import movement_graph, shortest_paths
+    pos = _rt.latest_locations(t.geodata, AS_OF)
+    best = _rt.best_target_poi(views.combined_pois(t.pois, t.predicted_pois_sequence), AS_OF)
+    req = _rt.route_candidates(pos, best, t.pois, t.gtfs_stops).select(
+        F.concat_ws("/", "client_id", "target_type").alias("request_id"), "origin_lat", "origin_lon",
+        "goal_lat", "goal_lon")
+    nodes, edges = movement_graph(_session_points(t))
+    sp = shortest_paths(req, nodes, edges)
+    return sp.select("request_id", "origin_node", "goal_node", F.round("length_m", 3).alias("length_m"),
+                     F.size("path").alias("path_points"))
