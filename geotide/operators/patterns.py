@@ -4,8 +4,9 @@ All clients are clustered together: every step is a join keyed by
 ``client_id`` and an aggregation, with the (small) centre table materialised
 between iterations.  Duplicate coordinates are collapsed into weights first,
 so a client's volume does not enter the pairwise work.  Seeding is
-deterministic farthest-first (the reference seeds randomly with 10 restarts,
-so labels cannot match it exactly; the invariants do).
+k-means++ with 10 runs side by side, made deterministic by hashing (the
+reference draws random seeds, so labels cannot match it exactly; the
+invariants do), and the run of least inertia wins per client.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from geotide.session import checkpoint_dir, materialize
 N_CLUSTERS = 8
 MIN_CLUSTER_POINTS = 2
 MAX_ITER = 30
+N_INIT = 10
 
 
 def _d2(ax, ay, bx, by):
     return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
 
 
-def kmeans_per_client(points: DataFrame, k: int = N_CLUSTERS, max_iter: int = MAX_ITER) -> DataFrame:
+def kmeans_per_client(points: DataFrame, k: int = N_CLUSTERS, max_iter: int = MAX_ITER,
+                      n_init: int = N_INIT) -> DataFrame:
     """Cluster each client's (lat, lon) after per-client standardisation.
 
     ``points``: client_id, lat, lon.  Clients with fewer than ``k`` points are
@@ -45,37 +48,54 @@ def kmeans_per_client(points: DataFrame, k: int = N_CLUSTERS, max_iter: int = MA
         ((F.col("lon") - F.col("__mo")) / F.when(F.col("__so") == 0, 1.0).otherwise(F.col("__so"))).alias("y"))
     z = materialize(z, "km-points")
 
-    # farthest-first seeding: first the smallest (x, y), then repeatedly the point farthest
-    # from its nearest chosen centre (ties: smallest coordinates)
-    first = z.groupBy("client_id").agg(F.min(F.struct("x", "y")).alias("c"))
-    cents = first.select("client_id", F.lit(0).alias("cid"), F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+    # k-means++ seeding, ``n_init`` independent runs side by side (as the reference's 10 restarts):
+    # the first centre is the point with the smallest hash, each next one a D^2-weighted draw made
+    # deterministic by an exponential race (smallest -ln(u) / (w D^2)).
+    runs = F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))
+    zr = materialize(z.withColumn("run", runs), "km-runs")
+    key = ["client_id", "run"]
+
+    def unif(salt):
+        h = F.xxhash64(F.col("run"), F.lit(salt), F.col("lat"), F.col("lon"))
+        return (F.abs(h % F.lit(1 << 52)) + F.lit(1)) / F.lit(float((1 << 52) + 1))
+
+    first = zr.groupBy(*key).agg(F.min(F.struct(unif(0).alias("u"), "x", "y")).alias("c"))
+    cents = materialize(first.select(*key, F.lit(0).alias("cid"), F.col("c.x").alias("cx"),
+                                     F.col("c.y").alias("cy")), "km-seed")
     for i in range(1, k):
-        dmin = z.join(cents, "client_id").groupBy("client_id", "x", "y").agg(
+        dmin = zr.join(cents, key).groupBy(*key, "lat", "lon", "x", "y", "weight").agg(
             F.min(_d2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).alias("d"))
-        far = dmin.where(F.col("d") > 0).groupBy("client_id").agg(
-            F.max(F.struct(F.col("d"), (-F.col("x")).alias("nx"), (-F.col("y")).alias("ny"))).alias("m"))
-        new = far.select("client_id", F.lit(i).alias("cid"), (-F.col("m.nx")).alias("cx"), (-F.col("m.ny")).alias("cy"))
+        race = (-F.log(unif(i))) / (F.col("weight") * F.col("d"))
+        pick = dmin.where(F.col("d") > 0).groupBy(*key).agg(F.min(F.struct(race.alias("r"), "x", "y")).alias("m"))
+        new = pick.select(*key, F.lit(i).alias("cid"), F.col("m.x").alias("cx"), F.col("m.y").alias("cy"))
         cents = materialize(cents.unionByName(new), "km-seed")
-    # Lloyd iterations
+    # Lloyd iterations (all clients and runs together)
     for _ in range(max_iter):
-        a = z.join(cents, "client_id").withColumn("d", _d2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")))
-        best = a.groupBy("client_id", "x", "y", "weight").agg(F.min(F.struct("d", "cid")).alias("b"))
-        wsum = best.groupBy("client_id", F.col("b.cid").alias("cid")).agg(
+        a = zr.join(cents, key).withColumn("d", _d2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")))
+        best = a.groupBy(*key, "x", "y", "weight").agg(F.min(F.struct("d", "cid")).alias("b"))
+        wsum = best.groupBy(*key, F.col("b.cid").alias("cid")).agg(
             (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("nx"),
             (F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("ny"))
         moved = (F.coalesce("nx", "cx") != F.col("cx")) | (F.coalesce("ny", "cy") != F.col("cy"))
-        new = materialize(cents.join(wsum, ["client_id", "cid"], "left").select(
-            "client_id", "cid", F.coalesce("nx", "cx").alias("cx"), F.coalesce("ny", "cy").alias("cy"),
+        new = materialize(cents.join(wsum, key + ["cid"], "left").select(
+            *key, "cid", F.coalesce("nx", "cx").alias("cx"), F.coalesce("ny", "cy").alias("cy"),
             moved.alias("moved")), "km-iter")
-        cents = new.select("client_id", "cid", "cx", "cy")
+        cents = new.select(*key, "cid", "cx", "cy")
         if new.where(F.col("moved")).isEmpty():
             break
-    # number clusters by centre position, assign points
-    order = Window.partitionBy("client_id").orderBy("cx", "cy", "cid")
-    cents = cents.withColumn("cluster", F.row_number().over(order) - 1)
-    a = z.join(cents, "client_id").withColumn("d", _d2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")))
-    best = a.groupBy("client_id", "lat", "lon", "weight").agg(F.min(F.struct("d", "cluster")).alias("b"))
-    return best.select("client_id", "lat", "lon", "weight", F.col("b.cluster").alias("cluster"))
+    # best run per client by inertia, clusters numbered by centre position
+    a = zr.join(cents, key).withColumn("d", _d2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")))
+    best = a.groupBy(*key, "lat", "lon", "weight").agg(F.min(F.struct("d", "cid")).alias("b"))
+    best = materialize(best, "km-assign")
+    inertia = best.groupBy(*key).agg(F.sum(F.col("b.d") * F.col("weight")).alias("inertia"))
+    win = inertia.groupBy("client_id").agg(F.min(F.struct("inertia", "run")).alias("w")) \
+        .select("client_id", F.col("w.run").alias("run"))
+    order = Window.partitionBy(*key).orderBy("cx", "cy", "cid")
+    num = cents.join(win, key, "left_semi").withColumn("cluster", F.row_number().over(order) - 1)
+    out = best.join(win, key, "left_semi").join(num.select(*key, F.col("cid").alias("__cid"), "cluster"),
+                                                (best["client_id"] == num["client_id"]) & (best["run"] == num["run"])
+                                                & (F.col("b.cid") == F.col("__cid")))
+    return out.select(best["client_id"], "lat", "lon", "weight", "cluster")
 
 
 def movement_patterns(points: DataFrame, k: int = N_CLUSTERS) -> tuple[DataFrame, DataFrame]:
