@@ -14,8 +14,9 @@ DBSCAN re-expressed as Spark joins and aggregations:
    short, an executor loss re-reads the checkpoint);
 5. border points join the smallest adjacent cluster label, the rest is noise.
 
-Labels are the smallest (lat, lon) of the component, so results do not depend
-on partitioning or input order.
+Nodes are 64-bit hashes of (lat, lon) inside a client (edges never cross
+clients); a component's label is its smallest node id, so results do not
+depend on partitioning or input order.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ MAX_LABEL_ROUNDS = 64
 def _label_components(nodes: DataFrame, edges: DataFrame, key: list[str], max_rounds: int) -> DataFrame:
     """Connected components by min-label propagation with pointer jumping.
 
-    ``nodes``: key columns + ``node`` (orderable struct, unique per key).
+    ``nodes``: key columns + ``node`` (orderable id, unique per key).
     ``edges``: key columns + ``a``, ``b`` (node values; both directions given).
     Returns key + ``node`` + ``label`` (smallest node of the component).
     """
@@ -71,7 +72,7 @@ def density_cluster(points: DataFrame, eps_m: float, min_samples: int, key: str
 
     ``points`` needs ``key``, ``lat``, ``lon``.  Returns one row per distinct
     (key, lat, lon) with ``weight`` (multiplicity), ``is_core`` and ``label``
-    (struct of the cluster's smallest lat/lon; null for noise).  ``weight_col``
+    (the component's smallest node id; null for noise).  ``weight_col``
     names a multiplicity column of pre-aggregated input; ``carry`` maps output
     names to aggregate Columns computed in the same collapse step.
     """
@@ -94,23 +95,21 @@ def density_cluster(points: DataFrame, eps_m: float, min_samples: int, key: str
     cnt = pairs.groupBy(key, "lat", "lon").agg(F.sum("__w2").alias("__nw"))
     pts = materialize(coords.join(cnt, [key, "lat", "lon"], "left")
                       .withColumn("is_core", F.coalesce(F.col("__nw"), F.lit(0)) >= F.lit(min_samples))
-                      .withColumn("node", F.struct("lat", "lon")).drop("__nw"))
+                      .withColumn("node", F.xxhash64("lat", "lon")).drop("__nw"))
     core = pts.where("is_core").select(key, "node")
     core_b = core.select(F.col(key).alias("__k2"), F.col("node").alias("__n2"))
-    e = pairs.select(key, F.struct("lat", "lon").alias("a"),
-                     F.struct(F.col("__lat2").alias("lat"), F.col("__lon2").alias("lon")).alias("b"))
+    e = pairs.select(key, F.xxhash64("lat", "lon").alias("a"), F.xxhash64("__lat2", "__lon2").alias("b"))
     e = materialize(e.join(core.select(key, F.col("node").alias("a")), k + ["a"], "left_semi")
                     .join(core_b, (F.col(key) == F.col("__k2")) & (F.col("b") == F.col("__n2")), "left_semi"))
     lab = _label_components(core, e, k, max_rounds)
     # border points: smallest label of an adjacent core point
     border = pairs.join(lab.select(F.col(key).alias("__k3"), F.col("node").alias("__n3"), "label"),
-                        (F.col("__k2") == F.col("__k3"))
-                        & (F.struct(F.col("__lat2").alias("lat"), F.col("__lon2").alias("lon")) == F.col("__n3"))) \
+                        (F.col("__k2") == F.col("__k3")) & (F.xxhash64("__lat2", "__lon2") == F.col("__n3"))) \
         .groupBy(key, "lat", "lon").agg(F.min("label").alias("__bl"))
     out = pts.join(lab.select(key, "node", "label"), k + ["node"], "left") \
         .join(border, [key, "lat", "lon"], "left")
-    return out.select(key, "lat", "lon", "weight", *(carry or {}).keys(), "is_core",
-                      F.when(F.col("is_core"), F.col("label")).otherwise(F.col("__bl")).alias("label"))
+    return materialize(out.select(key, "lat", "lon", "weight", *(carry or {}).keys(), "is_core",
+                      F.when(F.col("is_core"), F.col("label")).otherwise(F.col("__bl")).alias("label")), "dbscan")
 
 
 def detect_hotspots(points: DataFrame, eps_m: float = HOTSPOT_EPS_M,
