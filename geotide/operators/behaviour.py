@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotide.functions.timefn import iso_format, lenient_ts, seconds_between
+from geotide.session import materialize
 
 # Trajectories are stored in chunks of at most this many seconds of a session,
 # so the array built for one row is bounded by time, never by a client's volume.
@@ -80,6 +81,9 @@ def detect_pois(points: DataFrame, min_time: float = POI_MIN_DWELL_S,
     p = points.where(F.col("timestamp").isNotNull())
     p = dwell_time(p)
     cand = p.where((F.col("time_spent") > F.lit(float(min_time))) | (F.col("speed") < F.lit(float(speed_threshold))))
+    # Written once (shared checkpoint folder) and read by both branches below, instead of
+    # recomputing the sessionised dwell window for each.
+    cand = materialize(cand.select("client_id", "lat", "lon", "timestamp", "dwell_us", "time_spent"), "poi-cand")
     # G10 as aggregate + join (map-side combined) rather than a window, so a
     # hot coordinate is summed partially before the shuffle.
     rank = cand.groupBy(F.col("client_id").alias("__c"), F.col("lat").alias("__la"),

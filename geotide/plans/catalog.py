@@ -205,11 +205,16 @@ def q_detect_pois(t):
 
 @query("detect_hotspots")
 def q_detect_hotspots(t):
-    """B5 over trajectory points UNION ALL POIs."""
-    from geotide.operators.behaviour import trajectory_points
+    """B5 over trajectory points UNION ALL POIs.
+
+    The trajectory points are the session-window points (J6): exactly what
+    exploding the trajectories yields (``trajectory_points``, checked equal by
+    the ``trajectory_points`` oracle), without rebuilding and re-parsing the
+    arrays; a stored trajectories table would be read with nested-column pruning.
+    """
     from geotide.operators.clustering import detect_hotspots
     from geotide.operators.setops import hotspot_input
-    return detect_hotspots(hotspot_input(trajectory_points(t.trajectories), t.pois))
+    return detect_hotspots(hotspot_input(_session_points(t), t.pois))
 
 
 # ------------------------------------------------- aggregates / windows -----
