@@ -445,7 +445,7 @@ def q_reroute_reasons(t):
     """B13 for the live chosen route of every settled client."""
     live = views.routes_live(_history(t))
     pos = _rt.latest_locations(t.geodata, AS_OF)
-    return _rt.reroute_reasons(live, pos, _candidates(t), AS_OF)
+    return _rt.reroute_reasons(live, pos, _candidates(t), AS_OF).withColumn("deviation_m", F.round("deviation_m", 3))
 
 
 @query("reroute_events")
@@ -467,13 +467,13 @@ def _weekly(t):
 @query("weekly_schedule")
 def q_weekly_schedule(t):
     """B15."""
-    return _weekly(t).withColumn("path_points", F.size("path")).drop("path")
+    return _weekly(t).withColumn("path_points", F.size("path")).drop("path", "id")
 
 
 @query("client_weekly_schedule_enriched")
 def q_weekly_enriched(t):
     """J18 over the B15 schedule."""
-    return views.client_weekly_schedule_enriched(_weekly(t), t.gtfs_stops).drop("path")
+    return views.client_weekly_schedule_enriched(_weekly(t), t.gtfs_stops).drop("path", "id")
 
 
 @query("fresh_results")
