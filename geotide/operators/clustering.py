@@ -15,8 +15,9 @@ DBSCAN re-expressed as Spark joins and aggregations:
 5. border points join the smallest adjacent cluster label, the rest is noise.
 
 Nodes are 64-bit hashes of (lat, lon) inside a client (edges never cross
-clients); a component's label is its smallest node id, so results do not
-depend on partitioning or input order.
+clients) while components are found; each cluster is then named by the
+smallest (lat, lon) of its core points, so results do not depend on
+partitioning, input order or hash order.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def density_cluster(points: DataFrame, eps_m: float, min_samples: int, key: str
 
     ``points`` needs ``key``, ``lat``, ``lon``.  Returns one row per distinct
     (key, lat, lon) with ``weight`` (multiplicity), ``is_core`` and ``label``
-    (the component's smallest node id; null for noise).  ``weight_col``
+    (struct of the cluster's smallest core lat/lon; null for noise).  ``weight_col``
     names a multiplicity column of pre-aggregated input; ``carry`` maps output
     names to aggregate Columns computed in the same collapse step.
     """
@@ -102,6 +103,11 @@ def density_cluster(points: DataFrame, eps_m: float, min_samples: int, key: str
     e = materialize(e.join(core.select(key, F.col("node").alias("a")), k + ["a"], "left_semi")
                     .join(core_b, (F.col(key) == F.col("__k2")) & (F.col("b") == F.col("__n2")), "left_semi"))
     lab = _label_components(core, e, k, max_rounds)
+    # name each cluster by the smallest (lat, lon) among its core points, so labels (and the
+    # border tie-break below) follow coordinates, not hash order
+    named = lab.join(pts.select(key, "node", "lat", "lon"), k + ["node"]) \
+        .groupBy(key, "label").agg(F.min(F.struct("lat", "lon")).alias("__cl"))
+    lab = lab.join(named, k + ["label"]).select(key, "node", F.col("__cl").alias("label"))
     # border points: smallest label of an adjacent core point
     border = pairs.join(lab.select(F.col(key).alias("__k3"), F.col("node").alias("__n3"), "label"),
                         (F.col("__k2") == F.col("__k3")) & (F.xxhash64("__lat2", "__lon2") == F.col("__n3"))) \

@@ -214,7 +214,9 @@ def q_detect_hotspots(t):
     """
     from geotide.operators.clustering import detect_hotspots
     from geotide.operators.setops import hotspot_input
-    return detect_hotspots(hotspot_input(_session_points(t), t.pois))
+    h = detect_hotspots(hotspot_input(_session_points(t), t.pois))
+    return h.select("client_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"),
+                    F.round("radius", 6).alias("radius"), "density", "type", "source_type")
 
 
 # ------------------------------------------------- aggregates / windows -----
@@ -410,7 +412,10 @@ def q_visit_clock(t):
 @query("predict_visits")
 def q_predict_visits(t):
     """B3 (daily)."""
-    return _pr.predict_visits(t.pois, t.user_patterns, AS_OF, "daily")
+    p = _pr.predict_visits(t.pois, t.user_patterns, AS_OF, "daily")
+    return p.select("client_id", F.round("predicted_lat", 9).alias("predicted_lat"),
+                    F.round("predicted_lon", 9).alias("predicted_lon"), "predicted_visit_time", "prediction_type",
+                    "created_at")
 
 
 @query("consecutive_legs")
