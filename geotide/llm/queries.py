@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geotide.llm import exact_dedup as dedup
 from geotide.llm import language, licenses, mixing, ngram_join, packing, quality, secrets, substring_dedup, token_rollups
+from geotide.llm.oracle import ORACLE  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
