@@ -36,7 +36,7 @@ def _secrets() -> str:
         size = f"length(regexp_extract(m[i], '{pattern}', {r.group}))" if r.group else "length(m[i])"
         parts.append(f"""
 SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {size} AS size, {r.least} AS least, length(m[i]) AS len,
-       list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0) AS a
+       list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
 FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g
       FROM d WHERE regexp_matches(text, '{pattern}')), range(1, len(m) + 1) r(i)""")
     base = len(secrets.BASE_RULES)
