@@ -184,9 +184,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def alike(x, y):  # sizes that can still reach the threshold
         return (den * F.least(x, y) >= num * F.greatest(x, y))
 
+    def needed(x, y):  # common first shingles of a pair that reaches the threshold
+        least = F.ceil(F.lit(num) * (x + y) / F.lit(num + den)).cast("long")
+
+        def spare(n):
+            return n - F.ceil(F.lit(num) * n / F.lit(den)).cast("long") + 1 - (n - least)
+        return F.greatest(F.least(spare(x), spare(y)), F.lit(1))
+
+    sizes = needed(F.col("an"), F.col("bn"))
+    pair = ["a", "as1", "an", "b", "bs1", "bn"]
     first = (shared.where((F.col("id") != F.col("c.id")) | (F.col("s1") != F.col("c.s1"))).where(alike(F.col("n"), F.col("c.n")))
              .select(F.col("c.id").alias("a"), F.col("c.s1").alias("as1"), F.col("c.n").alias("an"),
-                     F.col("id").alias("b"), F.col("s1").alias("bs1"), F.col("n").alias("bn")).distinct())
+                     F.col("id").alias("b"), F.col("s1").alias("bs1"), F.col("n").alias("bn"))
+             .groupBy(*pair).agg(F.count(F.lit(1)).alias("k")).where(2 * F.col("k") >= sizes).drop("k"))  # half: others share the star
     first = materialize(first, "pairs")
     close = materialize(linked(overlaps(first, docs, id_col, text_col, size, classes), threshold).select("a", "b"), "links")
     label = components(close.select(F.col("a").alias("u"), F.col("b").alias("v")).union(copies))
@@ -198,7 +208,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     later = (x.join(y, "t").where((F.col("x.l") < F.col("y.l")) & alike(F.col("x.n"), F.col("y.n")))
              .select(F.col("x.id").alias("a"), F.col("x.s1").alias("as1"), F.col("x.n").alias("an"),
                      F.col("y.id").alias("b"), F.col("y.s1").alias("bs1"), F.col("y.n").alias("bn"),
-                     F.col("x.l").alias("al"), F.col("y.l").alias("bl")).distinct())
+                     F.col("x.l").alias("al"), F.col("y.l").alias("bl"))
+             .groupBy(*pair, "al", "bl").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= sizes).drop("k"))
     key = ["a", "as1", "b", "bs1"]
     # a pair of the first round that failed may come again either way round
     tried = first.select(*key).union(first.select(F.col("b"), F.col("bs1"), F.col("a"), F.col("as1")))
