@@ -51,12 +51,22 @@ def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndar
 
 def _sketch(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+
+    def add(hashes: list[np.ndarray]) -> None:
+        u, n = np.unique(np.concatenate(hashes), return_counts=True)
+        many = n > 1
+        np.add.at(total, (u[many] >> _U(64 - SKETCH_BITS)).astype(np.int64), n[many])
+
+    local, seen = [], 0
     for batch in batches:
-        for _, _, data, at in chunks(batch.column(0), LOCAL_BYTES):
-            h, _ = shingle_hashes(data, at, size)
-            u, n = np.unique(h, return_counts=True)
-            many = n > 1
-            np.add.at(total, (u[many] >> _U(64 - SKETCH_BITS)).astype(np.int64), n[many])
+        for _, _, data, at in chunks(batch.column(0)):
+            local.append(shingle_hashes(data, at, size)[0])
+            seen += len(data)
+            if seen > LOCAL_BYTES:
+                add(local)
+                local, seen = [], 0
+    if local:
+        add(local)
     hit = np.flatnonzero(total > 2)
     yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["bucket", "n"])
 

@@ -30,7 +30,7 @@ SIZE = 20
 RUN = 8
 #: Bits of the bitmap of recurring anchors as a power of two (16 MB), and characters of text per shard.
 BITMAP_BITS = 27
-SHARD_CHARS = 3_000_000
+SHARD_CHARS = 1_000_000
 
 
 def anchors(w: Words, size: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

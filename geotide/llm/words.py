@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one chunk holds (a longer document is a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _RADIX = 0x9E3779B97F4A7C15
@@ -40,11 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD1B54A32D192ED03))
 
 
+_made: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=_U)
-    if n:
+    """1, base, base**2, ... modulo 2**64; those of usual chunks are made once per worker."""
+    if base not in _made or len(_made[base]) < n:
+        out = np.full(max(n, CHUNK_BYTES + 1), base, dtype=_U)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        out = np.multiply.accumulate(out)
+        if n > 2 * CHUNK_BYTES:  # of one very long text: not kept
+            return out[:n]
+        _made[base] = out
+    return _made[base][:n]
 
 
 @dataclass
@@ -96,9 +104,10 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = False, separators: np.
     last = cut[cut > 0] - 1
     ends[last] = inside[last]
     end = np.flatnonzero(ends) + 1
-    power = _powers(_RADIX, n + 1)
     total = np.zeros(n + 1, dtype=_U)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+    weighted = _BYTE[data]
+    weighted *= _powers(_RADIX, n)
+    np.cumsum(weighted, out=total[1:])
     back = _powers(_INVERSE, n + 1)
     hashes = mix((total[end] - total[start]) * back[start] + (end - start).astype(_U))
     return Words(data, at, start, end, hashes, np.searchsorted(start, at))
