@@ -9,27 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotide.functions.timefn import iso_format, lenient_ts, seconds_between
+from geotide.functions.timefn import iso_format, lenient_ts
 from geotide.session import materialize
 
-# Trajectories are stored in chunks of at most this many seconds of a session,
-# so the array built for one row is bounded by time, never by a client's volume.
-TRAJECTORY_CHUNK_S = 3600
-
 POINT_FIELDS = ("lat", "lon", "elevation", "speed", "activity")
 
 
-def trajectory_build(points: DataFrame, chunk_s: int = TRAJECTORY_CHUNK_S) -> DataFrame:
-    """Per (client, session, chunk) the time-ordered array of point structs.
+def trajectory_build(points: DataFrame) -> DataFrame:
+    """Per (client, session) the time-ordered array of point structs.
 
-    ``points`` needs client_id, session_id, start_time (session start) and the
-    point columns.  ``chunk`` is the whole number of ``chunk_s`` periods since
-    the session start.  Points carry ISO-8601 text timestamps; ``created_at``
-    is the chunk's last point time; ``id = session_id * 100 + chunk``.
+    ``points`` needs client_id, session_id and the point columns.  A session is
+    bounded by its time window, and so is its array.  Points carry ISO-8601 text
+    timestamps; ``created_at`` is the session's last point time, ``id`` the session id.
     """
-    chunk = F.floor(seconds_between(F.col("timestamp"), F.col("start_time")) / F.lit(float(chunk_s))).cast("long")
-    p = points.withColumn("chunk", chunk)
-    g = p.groupBy("client_id", "session_id", "chunk").agg(
+    g = points.groupBy("client_id", "session_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("timestamp").alias("t"), *[F.col(c) for c in POINT_FIELDS])))
         .alias("pts"),
         F.max("timestamp").alias("created_at"))
@@ -37,8 +30,7 @@ def trajectory_build(points: DataFrame, chunk_s: int = TRAJECTORY_CHUNK_S) -> Da
         s["lat"].cast("double").alias("lat"), s["lon"].cast("double").alias("lon"),
         s["elevation"].cast("double").alias("elevation"), s["speed"].cast("double").alias("speed"),
         s["activity"].cast("string").alias("activity"), iso_format(s["t"]).alias("timestamp")))
-    return g.select((F.col("session_id") * 100 + F.col("chunk")).alias("id"), "client_id", "session_id", "chunk",
-                    traj.alias("trajectory"), "created_at")
+    return g.select(F.col("session_id").alias("id"), "client_id", "session_id", traj.alias("trajectory"), "created_at")
 
 
 def trajectory_points(trajectories: DataFrame) -> DataFrame:

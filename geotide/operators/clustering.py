@@ -35,10 +35,8 @@ HOTSPOT_EPS_RAD = 0.005
 HOTSPOT_EPS_M = HOTSPOT_EPS_RAD * EARTH_RADIUS_M
 HOTSPOT_MIN_SAMPLES = 5
 
-MAX_LABEL_ROUNDS = 64
 
-
-def _label_components(nodes: DataFrame, edges: DataFrame, key: list[str], max_rounds: int) -> DataFrame:
+def _label_components(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """Connected components by min-label propagation with pointer jumping.
 
     ``nodes``: key columns + ``node`` (orderable id, unique per key).
@@ -48,7 +46,7 @@ def _label_components(nodes: DataFrame, edges: DataFrame, key: list[str], max_ro
     spark = nodes.sparkSession
     checkpoint_dir(spark)
     lab = materialize(nodes.select(*key, "node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
+    while True:  # until no label changes; pointer jumping keeps the rounds few
         # propagate: smallest label among a node's neighbours (and its own)
         nb = edges.join(lab.select(*key, F.col("node").alias("b"), F.col("label").alias("lb")), key + ["b"])
         prop = nb.groupBy(*key, F.col("a").alias("node")).agg(F.min("lb").alias("m"))
@@ -67,7 +65,7 @@ def _label_components(nodes: DataFrame, edges: DataFrame, key: list[str], max_ro
 
 
 def density_cluster(points: DataFrame, eps_m: float, min_samples: int, key: str = "client_id",
-                    max_rounds: int = MAX_LABEL_ROUNDS, weight_col: str | None = None,
+                    weight_col: str | None = None,
                     carry: dict | None = None, metric: str = "sphere") -> DataFrame:
     """DBSCAN labels per ``key``; ``metric`` 'sphere' (eps in metres) or 'planar' (eps in degrees).
 
@@ -102,7 +100,7 @@ def density_cluster(points: DataFrame, eps_m: float, min_samples: int, key: str
     e = pairs.select(key, F.xxhash64("lat", "lon").alias("a"), F.xxhash64("__lat2", "__lon2").alias("b"))
     e = materialize(e.join(core.select(key, F.col("node").alias("a")), k + ["a"], "left_semi")
                     .join(core_b, (F.col(key) == F.col("__k2")) & (F.col("b") == F.col("__n2")), "left_semi"))
-    lab = _label_components(core, e, k, max_rounds)
+    lab = _label_components(core, e, k)
     # name each cluster by the smallest (lat, lon) among its core points, so labels (and the
     # border tie-break below) follow coordinates, not hash order
     named = lab.join(pts.select(key, "node", "lat", "lon"), k + ["node"]) \

@@ -19,8 +19,6 @@ from geotide.functions.geo import BBOX_BUFFER_DEG, geodesic_m
 from geotide.operators.spatial import nearest_neighbour
 from geotide.session import checkpoint_dir, materialize
 
-MAX_ROUNDS = 10_000
-
 
 def movement_graph(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A road-like graph derived from telemetry: nodes are distinct positions, edges join
@@ -37,7 +35,7 @@ def movement_graph(points: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def shortest_paths(requests: DataFrame, nodes: DataFrame, edges: DataFrame,
-                   buffer_deg: float = BBOX_BUFFER_DEG, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                   buffer_deg: float = BBOX_BUFFER_DEG) -> DataFrame:
     """For each request (request_id, origin_lat/lon, goal_lat/lon) the least-length path
     between the graph nodes nearest to origin and goal, within the requests' bounding box.
 
@@ -63,7 +61,7 @@ def shortest_paths(requests: DataFrame, nodes: DataFrame, edges: DataFrame,
         "request_id", F.col("origin_node").alias("node"), F.lit(0.0).alias("dist"),
         F.lit(None).cast("long").alias("pred")), "sp-lab")
     frontier = labels
-    for _ in range(max_rounds):
+    while True:  # until no label improves
         cand = frontier.select("request_id", F.col("node").alias("src"), F.col("dist").alias("d0")) \
             .join(ed, "src").join(box, "request_id") \
             .where(F.col("dlat").between(F.col("s"), F.col("n")) & F.col("dlon").between(F.col("w"), F.col("e"))) \

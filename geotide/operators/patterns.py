@@ -19,7 +19,7 @@ from geotide.session import checkpoint_dir, materialize
 # Number of clusters, minimum points of a reported cluster.
 N_CLUSTERS = 8
 MIN_CLUSTER_POINTS = 2
-MAX_ITER = 30
+MAX_ITER = 300  # most rounds of the k-means solver
 N_INIT = 10
 
 
@@ -76,7 +76,8 @@ def kmeans_per_client(points: DataFrame, k: int = N_CLUSTERS, max_iter: int = MA
         wsum = best.groupBy(*key, F.col("b.cid").alias("cid")).agg(
             (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("nx"),
             (F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("ny"))
-        moved = (F.coalesce("nx", "cx") != F.col("cx")) | (F.coalesce("ny", "cy") != F.col("cy"))
+        # sums in another order may differ in the last digits: that is no movement
+        moved = (F.abs(F.coalesce("nx", "cx") - F.col("cx")) > 1e-12) | (F.abs(F.coalesce("ny", "cy") - F.col("cy")) > 1e-12)
         new = materialize(cents.join(wsum, key + ["cid"], "left").select(
             *key, "cid", F.coalesce("nx", "cx").alias("cx"), F.coalesce("ny", "cy").alias("cy"),
             moved.alias("moved")), "km-iter")

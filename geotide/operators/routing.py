@@ -150,6 +150,8 @@ def choose_route(targets: DataFrame, astar: DataFrame, mapf: DataFrame, candidat
     ``astar < mapf + 100 + max(0, delay)`` -> ``direct`` else ``multimodal``.
     """
     t = targets.select("client_id", F.col("lat").alias("dest_lat"), F.col("lon").alias("dest_lon"))
+    loc = latest_locations(geodata, as_of).select(F.col("client_id").alias("l_c"), F.col("lat").alias("l_lat"),
+                                                  F.col("lon").alias("l_lon"))
     a = top_k_per_key(astar.where(F.col("target_type") == "poi"),
                       ["client_id", "destination_lat", "destination_lon"], [desc("created_at"), desc("id")], 1, None)
     a = a.select(F.col("client_id").alias("a_c"), F.col("destination_lat").alias("a_lat"),
@@ -167,6 +169,10 @@ def choose_route(targets: DataFrame, astar: DataFrame, mapf: DataFrame, candidat
         .join(m, (t["client_id"] == m["m_c"]) & (t["dest_lat"] == m["m_lat"]) & (t["dest_lon"] == m["m_lon"]), "left")
     j = j.join(d, (j["client_id"] == d["d_c"]) & (j["mapf_stop_id"] == d["d_s"]), "left")
     has_a, has_m = F.col("a_c").isNotNull(), F.col("m_c").isNotNull()
+    # without an A* route the decision starts where the client is; without a location there is none
+    j = j.join(loc, F.col("client_id") == F.col("l_c"), "left").where(has_a | F.col("l_c").isNotNull()) \
+        .withColumn("origin_lat", F.when(has_a, F.col("origin_lat")).otherwise(F.col("l_lat"))) \
+        .withColumn("origin_lon", F.when(has_a, F.col("origin_lon")).otherwise(F.col("l_lon")))
     has_d = F.coalesce(F.col("has_dep"), F.lit(False))
     heuristic_direct = F.col("astar_dist") < (F.col("mapf_dist") + F.lit(MAPF_PENALTY_METERS)
                                               + F.greatest(F.lit(0.0), F.col("delay")))
@@ -272,9 +278,10 @@ def deviation_streaks(ticks: DataFrame, choice: DataFrame) -> DataFrame:
     thr = F.when(F.col("__st") == "multimodal", F.lit(DEVIATION_METERS_MAPF)).otherwise(F.lit(DEVIATION_METERS_DIRECT))
     j = j.withColumn("deviation_m", point_to_path_m(F.col("lat"), F.col("lon"), F.col("__path"))) \
         .withColumn("off_path", F.col("deviation_m") > thr)
-    w = Window.partitionBy("client_id").orderBy("tick_time").rowsBetween(Window.unboundedPreceding, 0)
+    order = ["tick_time", "lat", "lon", *(["id"] if "id" in ticks.columns else [])]
+    w = Window.partitionBy("client_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("__island", F.sum(F.when(F.col("off_path"), 0).otherwise(1)).over(w))
-    w2 = Window.partitionBy("client_id", "__island").orderBy("tick_time").rowsBetween(Window.unboundedPreceding, 0)
+    w2 = Window.partitionBy("client_id", "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("streak", F.sum(F.when(F.col("off_path"), 1).otherwise(0)).over(w2))
     return j.drop("__c", "__st", "__path", "__island")
 
@@ -294,8 +301,8 @@ def reroute_reasons(choice: DataFrame, positions: DataFrame, candidates: DataFra
     thr = F.when(F.col("seg") == "multimodal", F.lit(DEVIATION_METERS_MAPF)).otherwise(F.lit(DEVIATION_METERS_DIRECT))
     j = j.withColumn("deviation_m", dist)
     if streaks is not None:
-        j = j.join(streaks.select("client_id", F.col("streak").alias("__prev")), "client_id", "left")
-        streak = F.when(F.col("deviation_m") > thr, F.coalesce(F.col("__prev"), F.lit(0)) + 1).otherwise(0)
+        j = j.join(streaks.select("client_id", F.col("streak").alias("__ticks")), "client_id", "left")
+        streak = F.when(F.col("deviation_m") > thr, F.greatest(F.coalesce(F.col("__ticks"), F.lit(1)), F.lit(1))).otherwise(0)
     else:
         streak = F.when(F.col("deviation_m") > thr, F.lit(1)).otherwise(F.lit(0))
     j = j.withColumn("streak", streak)
@@ -410,7 +417,9 @@ def publish_payloads(results: DataFrame) -> DataFrame:
     """K9: (topic, payload JSON) per result row, deduplicated on (client, session, created_at) (T5)."""
     from geotide.functions.geo import wkt_linestring
     from geotide.functions.timefn import iso_format
-    r = results.dropDuplicates(["client_id", "session_id", "created_at"])
+    # of rows with one key the smallest by stop, segment and destination is published
+    rest = [F.col(c).asc_nulls_last() for c in ("stop_id", "segment_type", "destination_lat", "destination_lon")]
+    r = top_k_per_key(results, ["client_id", "session_id", "created_at"], rest, 1, None)
     topic = F.format_string("results/client/%s/session/%s", F.col("client_id"), F.col("session_id").cast("string"))
     payload = F.to_json(F.struct(
         F.col("client_id").cast("string").alias("client_id"), F.col("session_id").alias("session_id"),

@@ -447,18 +447,43 @@ def q_choose_route(t):
 
 @query("reroute_reasons")
 def q_reroute_reasons(t):
-    """B13 for the live chosen route of every settled client."""
-    live = views.routes_live(_history(t))
-    pos = _rt.latest_locations(t.geodata, AS_OF)
-    return _rt.reroute_reasons(live, pos, _candidates(t), AS_OF).withColumn("deviation_m", F.round("deviation_m", 3))
+    """B13 for the newest chosen route of every active client, with the streak of its last tick."""
+    return _reasons(t).withColumn("deviation_m", F.round("deviation_m", 3))
+
+
+def _current_choice(t):
+    from geotide.operators.latest import top_k_per_key
+    return top_k_per_key(t.optimized_routes.where("is_chosen"), ["client_id"],
+                         [F.col("created_at").desc_nulls_last(), F.col("id").desc_nulls_last()], 1, None)
+
+
+def _streaks(t):
+    active = views.active_clients_geodata(t.geodata, AS_OF)
+    ticks = t.geodata.join(active.select("client_id"), "client_id", "left_semi").select(
+        "id", "client_id", F.col("timestamp").alias("tick_time"), "lat", "lon")
+    return _rt.deviation_streaks(ticks, _current_choice(t))
+
+
+def _reasons(t):
+    active = views.active_clients_geodata(t.geodata, AS_OF)
+    pos = _rt.latest_locations(t.geodata, AS_OF).join(active.select("client_id"), "client_id", "left_semi")
+    last = _streaks(t).groupBy("client_id").agg(F.max(F.struct("tick_time", "lat", "lon", "id", "streak")).alias("m")) \
+        .select("client_id", F.col("m.streak").alias("streak"))
+    return _rt.reroute_reasons(_current_choice(t), pos, _candidates(t), AS_OF, last)
+
+
+@query("deviation_streaks")
+def q_deviation_streaks(t):
+    """Ticks of the active clients against their chosen route."""
+    return _streaks(t).select("id", "client_id", "tick_time", "lat", "lon", F.round("deviation_m", 3).alias("deviation_m"),
+                              "off_path", F.col("streak").cast("long").alias("streak"))
 
 
 @query("reroute_events")
 def q_reroute_events(t):
     """Live route before vs the new decision, for clients with a reroute reason."""
     live = views.routes_live(_history(t))
-    pos = _rt.latest_locations(t.geodata, AS_OF)
-    reasons = _rt.reroute_reasons(live, pos, _candidates(t), AS_OF).where(F.col("reason").isNotNull())
+    reasons = _reasons(t).where(F.col("reason").isNotNull())
     ev = _rt.reroute_events(live, _choice(t), reasons)
     return ev.withColumn("path_points", F.size("path")).drop("path")
 
@@ -628,10 +653,8 @@ def _ingested(t, which: str):
     from geotide.streaming import pipelines as sp
     base = _stream_folder(t, "ingest")
     _messages(t).write.mode("overwrite").json(f"{base}/in")
-    sessions, points = sp.stream_ingest(sp.read_telemetry_stream(t.spark, f"{base}/in"))
-    df = sessions if which == "sessions" else points
-    sp.run_available_now(df, f"{base}/out", f"{base}/ckpt")
-    return t.spark.read.parquet(f"{base}/out")
+    sp.stream_ingest(sp.read_telemetry_stream(t.spark, f"{base}/in"), f"{base}/out", f"{base}/ckpt")
+    return t.spark.read.parquet(f"{base}/out/{which}")
 
 
 @query("stream_ingest_sessions")
@@ -648,17 +671,15 @@ def q_stream_ingest_points(t):
 
 @query("stream_migrate_trajectories")
 def q_stream_migrate(t):
-    """Closed sessions migrated to trajectories by a watermarked streaming aggregation."""
+    """Closed sessions migrated to trajectories as their points arrive."""
     from geotide.streaming import pipelines as sp
     base = _stream_folder(t, "migrate")
     pts = _session_points(t).select("client_id", "session_id", "lat", "lon", "elevation", "speed", "activity",
                                     "timestamp", "start_time", "end_time")
     pts.write.mode("overwrite").parquet(f"{base}/in")
-    # one micro-batch holds the whole backlog, so no row is behind the watermark; the closing
-    # no-data batch then emits every session that ended 26 h before the newest one
-    src = t.spark.readStream.schema(pts.schema).parquet(f"{base}/in")
-    sp.run_available_now(sp.stream_migrate(src), f"{base}/out", f"{base}/ckpt")
-    out = t.spark.read.parquet(f"{base}/out")
+    src = t.spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    sp.stream_migrate(src, f"{base}/out", f"{base}/ckpt", AS_OF)
+    out = sp.migrated(t.spark, f"{base}/out")
     return out.withColumn("n_points", F.size("trajectory")).drop("trajectory")
 
 

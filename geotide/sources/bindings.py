@@ -117,7 +117,7 @@ class MobilityTables:
 
     @cached_property
     def gtfs_routes(self) -> DataFrame:
-        p = self.raw("part").where(F.col("p_partkey") <= 40)
+        p = self.raw("part")
         return p.select(
             F.col("p_partkey").cast("string").alias("route_id"),
             _null("string").alias("agency_id"),

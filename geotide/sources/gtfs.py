@@ -32,7 +32,8 @@ MEMBERS = {"stops.txt": "gtfs_stops", "routes.txt": "gtfs_routes", "trips.txt":
 def _int_clip(c: str, lo: int, hi: int) -> Column:
     v = F.col(c).try_cast("double")
     v = F.when(F.isnan(v), None).otherwise(v)
-    return F.least(F.greatest(F.coalesce(F.floor(v).cast("int"), F.lit(0)), F.lit(lo)), F.lit(hi)).alias(c)
+    # clipped as a double first: a number beyond the integer range must not fail the load
+    return F.floor(F.least(F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(float(lo))), F.lit(float(hi)))).cast("int").alias(c)
 
 
 def _num(c: str) -> Column:
@@ -44,8 +45,8 @@ def _date(c: str) -> Column:
 
 
 def _conform(df: DataFrame, cols: list[str]) -> DataFrame:
-    have = set(df.columns)
-    return df.select(*[F.col(c).cast("string").alias(c) if c in have else F.lit(None).cast("string").alias(c)
+    have = {c.strip().lstrip("\ufeff"): c for c in df.columns}  # a byte-order mark may lead the header
+    return df.select(*[F.col(f"`{have[c]}`").cast("string").alias(c) if c in have else F.lit(None).cast("string").alias(c)
                        for c in cols])
 
 
@@ -97,7 +98,8 @@ def read_gtfs_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         path = os.path.join(folder, member)
         if not _exists(spark, path):
             continue
-        raw = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+        raw = spark.read.option("header", "true").option("inferSchema", "false") \
+            .option("quote", '"').option("escape", '"').csv(path)  # GTFS doubles quotes inside quotes
         out[table] = PARSERS[table](raw)
     return out
 
@@ -112,4 +114,5 @@ def write_gtfs_bundle(tables: dict[str, DataFrame], folder: str) -> None:
     """Write tables as a GTFS folder (one CSV directory per member, with header)."""
     inv = {v: k for k, v in MEMBERS.items()}
     for table, df in tables.items():
-        df.write.mode("overwrite").option("header", "true").csv(os.path.join(folder, inv[table]))
+        df.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"') \
+            .csv(os.path.join(folder, inv[table]))

@@ -22,23 +22,39 @@ def _st(**fields) -> T.StructType:
 
 
 _TRIP = _st(trip_id=_S, route_id=_S)
-_EVENT = _st(time=_L, delay=_I)
+_EVENT = _st(time=_S, delay=_S)  # 64-bit integers may come as strings
 _TRANSLATED = _st(translation=T.ArrayType(_st(text=_S, language=_S)))
 ENTITY_SCHEMA = _st(
     id=_S,
-    vehicle=_st(vehicle=_st(id=_S), trip=_TRIP, stop_id=_S, timestamp=_L,
+    vehicle=_st(vehicle=_st(id=_S), trip=_TRIP, stop_id=_S, timestamp=_S,
                 position=_st(latitude=_D, longitude=_D, speed=_D, bearing=_D)),
     trip_update=_st(trip=_TRIP, stop_time_update=T.ArrayType(_st(
         stop_id=_S, arrival=_EVENT, departure=_EVENT, schedule_relationship=_S))),
     alert=_st(cause=_S, effect=_S, header_text=_TRANSLATED, description_text=_TRANSLATED,
               informed_entity=T.ArrayType(_st(route_id=_S, stop_id=_S, trip=_TRIP)),
-              active_period=T.ArrayType(_st(start=_L, end=_L))))
-FEED_SCHEMA = _st(header=_st(timestamp=_L), entity=T.ArrayType(ENTITY_SCHEMA))
+              active_period=T.ArrayType(_st(start=_S, end=_S))))
+FEED_SCHEMA = _st(header=_st(timestamp=_S), entity=T.ArrayType(ENTITY_SCHEMA))
+
+# Fields that the protobuf JSON mapping spells in camel case.
+CAMEL_FIELDS = ("tripUpdate", "stopTimeUpdate", "tripId", "routeId", "stopId", "scheduleRelationship", "headerText",
+                "descriptionText", "informedEntity", "activePeriod")
+
+
+def _snake(text: Column) -> Column:
+    """Field names in the original (snake) spelling; both spellings are valid protobuf JSON."""
+    for name in CAMEL_FIELDS:
+        snake = "".join("_" + c.lower() if c.isupper() else c for c in name)
+        text = F.regexp_replace(text, f'"{name}"(\\s*:)', f'"{snake}"$1')
+    return text
+
+
+def _seconds(c: Column) -> Column:
+    return epoch_to_ts(c.try_cast("long"))
 
 
 def decode_feeds(feeds: DataFrame, json_col: str = "feed_json", read_ts: str = "read_at") -> DataFrame:
     """One row per feed entity: ``e`` (entity struct) and the feed read time."""
-    f = feeds.select(F.from_json(F.col(json_col), FEED_SCHEMA).alias("__f"), F.col(read_ts).alias("read_at"))
+    f = feeds.select(F.from_json(_snake(F.col(json_col)), FEED_SCHEMA).alias("__f"), F.col(read_ts).alias("read_at"))
     return f.select(F.explode("__f.entity").alias("e"), "read_at")
 
 
@@ -52,7 +68,7 @@ def rt_vehicle_positions(entities: DataFrame) -> DataFrame:
                     F.col("e.vehicle.position.longitude").alias("position_lon"),
                     F.col("e.vehicle.position.speed").alias("speed"),
                     F.col("e.vehicle.position.bearing").alias("bearing"),
-                    F.coalesce(epoch_to_ts(ts), F.col("read_at")).alias("timestamp"),
+                    F.coalesce(_seconds(ts), F.col("read_at")).alias("timestamp"),
                     F.col("read_at").alias("created_at"))
 
 
@@ -62,9 +78,9 @@ def rt_trip_updates(entities: DataFrame) -> DataFrame:
         F.col("e.trip_update.trip.trip_id").alias("trip_id"),
         F.explode("e.trip_update.stop_time_update").alias("u"), "read_at")
     return t.select("trip_id", F.col("u.stop_id").alias("stop_id"),
-                    epoch_to_ts(F.col("u.arrival.time")).alias("arrival_time"),
-                    epoch_to_ts(F.col("u.departure.time")).alias("departure_time"),
-                    F.col("u.arrival.delay").alias("delay_seconds"),
+                    _seconds(F.col("u.arrival.time")).alias("arrival_time"),
+                    _seconds(F.col("u.departure.time")).alias("departure_time"),
+                    F.col("u.arrival.delay").try_cast("int").alias("delay_seconds"),
                     F.coalesce(F.col("u.schedule_relationship"), F.lit("SCHEDULED")).alias("status"),
                     F.col("read_at").alias("created_at"))
 
@@ -88,7 +104,7 @@ def rt_service_alerts(entities: DataFrame) -> DataFrame:
                     F.coalesce(F.col("a.cause"), F.lit("UNKNOWN_CAUSE")).alias("cause"),
                     F.coalesce(F.col("a.effect"), F.lit("UNKNOWN_EFFECT")).alias("effect"),
                     header.alias("header_text"), desc.alias("description_text"), affected.alias("affected_entity"),
-                    epoch_to_ts(period["start"]).alias("start_time"), epoch_to_ts(period["end"]).alias("end_time"),
+                    _seconds(period["start"]).alias("start_time"), _seconds(period["end"]).alias("end_time"),
                     F.col("read_at").alias("created_at"))
 
 

@@ -62,9 +62,8 @@ def telemetry_parse(messages: DataFrame) -> DataFrame:
 
 
 def telemetry_sessions(parsed: DataFrame) -> DataFrame:
-    """Sessions of the parsed messages; the first message of a (client, start) wins (K1)."""
-    return parsed.select("session_id", "client_id", "start_time", "end_time") \
-        .dropDuplicates(["client_id", "start_time"])
+    """Sessions of the parsed messages, one per (client, start) (K1); of several ends the earliest wins."""
+    return parsed.groupBy("session_id", "client_id", "start_time").agg(F.min("end_time").alias("end_time"))
 
 
 def telemetry_points(parsed: DataFrame, updated_at=None) -> DataFrame:

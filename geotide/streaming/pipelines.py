@@ -1,8 +1,8 @@
 """Structured Streaming jobs.
 
-The reference polls; here each loop is a streaming query with event-time
-watermarks, state kept by Spark (RocksDB-able), and checkpointed progress so a
-restarted or re-scheduled job resumes exactly where it stopped.  Streams carry
+The reference polls; here each loop is a streaming query with checkpointed
+progress, so a restarted or re-scheduled job resumes exactly where it stopped.
+State is kept by Spark, or in the tables that the stream maintains.  Streams carry
 a zoned ``timestamp`` for the watermark (``withWatermark`` needs it) and cast
 to ``timestamp_ntz`` before meeting batch tables.
 """
@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from geotide.functions.timefn import ts_literal
 from geotide.operators.behaviour import trajectory_build
+from geotide.operators.latest import top_k_per_key
 from geotide.operators.routing import DEVIATION_STREAKS_REQUIRED
 from geotide.sources import gtfs_rt, telemetry
 
 # Late-data horizons.
-SESSION_DEFAULT_SPAN = "26 hours"
-SESSION_DEDUP_HORIZON = "26 hours"
+STREAK_IDLE = "26 hours"
 PUBLISH_DEDUP_HORIZON = "60 seconds"
 
 
@@ -32,47 +33,81 @@ def read_telemetry_stream(spark: SparkSession, folder: str, max_files: int = 100
     return spark.readStream.schema(telemetry.MESSAGE_SCHEMA).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def stream_ingest(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """T1 (+T2): parsed sessions and points of a telemetry stream.
+def _append_new(new: DataFrame, path: str, key: list[str]) -> None:
+    """Append the rows whose key the table at ``path`` does not hold (nulls are values of a key)."""
+    old = new.sparkSession.read.schema(new.schema).parquet(path).select(*[F.col(c).alias(f"__{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    new.join(old, same, "left_anti").write.mode("append").parquet(path)
 
-    Sessions are de-duplicated on (client, start_time) within the watermark
-    (first message wins, as the reference's ON CONFLICT DO NOTHING); points on
-    (session, timestamp, lat, lon) -- the reference has no point key.
+
+def _empty_table(spark: SparkSession, path: str, schema) -> None:
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+
+
+def _drain(stream: DataFrame, batch, checkpoint: str) -> None:
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True) \
+        .start().awaitTermination()
+
+
+def stream_ingest(messages: DataFrame, out: str, checkpoint: str) -> None:
+    """T1 (+T2): sessions and points of a telemetry stream, into ``out``/sessions and ``out``/points.
+
+    Each micro-batch inserts what the tables do not hold yet (K1): sessions by (client, start_time),
+    points by (session, timestamp, lat, lon).  The state is the tables themselves, so neither the
+    order of the files nor their number per batch changes the result, nothing is late, and a batch
+    that is replayed after a failure adds nothing twice.
     """
-    parsed = telemetry.telemetry_parse(messages)
-    sessions = parsed.select("session_id", "client_id", "start_time", "end_time")
-    sessions = sessions.withColumn("event_time", F.col("start_time").cast("timestamp")) \
-        .withWatermark("event_time", SESSION_DEDUP_HORIZON) \
-        .dropDuplicatesWithinWatermark(["client_id", "start_time"])
-    points = telemetry.telemetry_points(parsed, updated_at=F.current_timestamp().cast("timestamp_ntz"))
-    points = points.withColumn("event_time", F.col("timestamp").cast("timestamp")) \
-        .withWatermark("event_time", SESSION_DEDUP_HORIZON) \
-        .dropDuplicatesWithinWatermark(["session_id", "timestamp", "lat", "lon"])
-    return sessions.drop("event_time"), points.drop("event_time")
-
-
-def stream_migrate(points: DataFrame, chunk_s: int = 3600) -> DataFrame:
-    """Closed sessions -> trajectories.
-
-    ``points`` is a stream of session points with ``start_time``/``end_time``.
-    A (session, chunk) is emitted once the watermark passes the session end
-    (append mode; the watermarked column is a grouping key).
+    spark = messages.sparkSession
+    none = spark.createDataFrame([], telemetry.MESSAGE_SCHEMA)
+
+    def tables(batch: DataFrame) -> dict[str, DataFrame]:
+        parsed = telemetry.telemetry_parse(batch)
+        points = telemetry.telemetry_points(parsed, updated_at=F.current_timestamp().cast("timestamp_ntz"))
+        return {"sessions": telemetry.telemetry_sessions(parsed),
+                "points": points.dropDuplicates(["session_id", "timestamp", "lat", "lon"])}
+
+    keys = {"sessions": ["client_id", "start_time"], "points": ["session_id", "timestamp", "lat", "lon"]}
+    for name, df in tables(none).items():
+        _empty_table(spark, f"{out}/{name}", df.schema)
+
+    def insert(batch: DataFrame, _: int) -> None:
+        for name, df in tables(batch).items():
+            _append_new(df, f"{out}/{name}", keys[name])
+
+    _drain(messages, insert, checkpoint)
+
+
+MIGRATED_POINT = ["client_id", "session_id", "lat", "lon", "elevation", "speed", "activity", "timestamp", "start_time", "end_time"]
+
+
+def stream_migrate(points: DataFrame, out: str, checkpoint: str, as_of) -> None:
+    """Closed sessions (end_time <= ``as_of``) -> trajectories, into ``out``/log.
+
+    ``points`` is a stream of session points with ``start_time``/``end_time``.  Each micro-batch adds
+    its points to ``out``/points and rebuilds the closed sessions that it touches, as new versions in
+    the log; ``migrated`` reads the newest version of each.  Points may come in any order and any
+    number of batches.
     """
-    p = points.withColumn("end_event", F.col("end_time").cast("timestamp")) \
-        .withWatermark("end_event", SESSION_DEFAULT_SPAN)
-    chunk = F.floor(F.timestamp_diff("MICROSECOND", F.col("start_time"), F.col("timestamp"))
-                    / F.lit(chunk_s * 1e6)).cast("long")
-    g = p.withColumn("chunk", chunk).groupBy("client_id", "session_id", "chunk", "end_event").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("timestamp").alias("t"), "lat", "lon", "elevation", "speed",
-                                             "activity"))).alias("pts"),
-        F.max("timestamp").alias("created_at"))
-    from geotide.functions.timefn import iso_format
-    traj = F.transform("pts", lambda s: F.struct(s["lat"].alias("lat"), s["lon"].alias("lon"),
-                                                 s["elevation"].alias("elevation"), s["speed"].alias("speed"),
-                                                 s["activity"].alias("activity"),
-                                                 iso_format(s["t"]).alias("timestamp")))
-    return g.select((F.col("session_id") * 100 + F.col("chunk")).alias("id"), "client_id", "session_id", "chunk",
-                    traj.alias("trajectory"), "created_at")
+    spark = points.sparkSession
+    schema = points.select(*MIGRATED_POINT).schema
+    _empty_table(spark, f"{out}/points", schema)
+    log = trajectory_build(spark.createDataFrame([], schema)).withColumn("version", F.lit(0).cast("long"))
+    _empty_table(spark, f"{out}/log", log.schema)
+
+    def migrate(batch: DataFrame, batch_id: int) -> None:
+        new = batch.select(*MIGRATED_POINT).distinct()
+        _append_new(new, f"{out}/points", MIGRATED_POINT)
+        touched = new.where(F.col("end_time") <= ts_literal(as_of)).select("client_id", "session_id").distinct()
+        whole = spark.read.schema(schema).parquet(f"{out}/points").join(touched, ["client_id", "session_id"], "left_semi")
+        trajectory_build(whole).withColumn("version", F.lit(batch_id).cast("long")).write.mode("append").parquet(f"{out}/log")
+
+    _drain(points, migrate, checkpoint)
+
+
+def migrated(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version of every migrated trajectory (a replayed batch writes equal rows)."""
+    newest = top_k_per_key(spark.read.parquet(f"{out}/log"), ["client_id", "session_id"], [F.col("version").desc()], 1, None)
+    return newest.drop("version")
 
 
 TICK_SCHEMA = T.StructType([T.StructField("client_id", T.StringType()),
@@ -82,15 +117,19 @@ STREAK_SCHEMA = "client_id string, tick_time timestamp, off_path boolean, streak
 
 
 def _streak_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     count = state.get[0] if state.exists else 0
-    out = []
+    out, newest = [], 0
     for pdf in pdfs:
         for row in pdf.sort_values("tick_time").itertuples(index=False):
             count = count + 1 if bool(row.off_path) else 0
+            newest = max(newest, int(row.tick_time.timestamp() * 1000))
             out.append((row.client_id, row.tick_time, bool(row.off_path), count,
                         count >= DEVIATION_STREAKS_REQUIRED))
     state.update((count,))
-    state.setTimeoutDuration(26 * 3600 * 1000)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 26 * 3600 * 1000)
     if out:
         yield pd.DataFrame(out, columns=["client_id", "tick_time", "off_path", "streak", "reroute"])
 
@@ -99,10 +138,10 @@ def deviation_state(ticks: DataFrame) -> DataFrame:
     """T4: per-client consecutive off-path counter (state survives a reroute; an on-path tick resets it).
 
     ``ticks``: client_id, tick_time (timestamp), off_path.  State per client is
-    one int with a 26 h idle timeout.
+    one int; it expires when the client has been idle for 26 h of event time.
     """
-    return ticks.groupBy("client_id").applyInPandasWithState(
-        _streak_fn, STREAK_SCHEMA, "count int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return ticks.withWatermark("tick_time", STREAK_IDLE).groupBy("client_id").applyInPandasWithState(
+        _streak_fn, STREAK_SCHEMA, "count int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def publish_dedup(results: DataFrame) -> DataFrame:
@@ -141,5 +180,5 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, mode: str = "ap
     q.awaitTermination()
 
 
-__all__ = ["read_telemetry_stream", "stream_ingest", "stream_migrate", "deviation_state", "publish_dedup",
+__all__ = ["read_telemetry_stream", "stream_ingest", "stream_migrate", "migrated", "deviation_state", "publish_dedup",
            "read_feed_stream", "rt_feed_ingest", "live_last_seen", "run_available_now", "trajectory_build"]

@@ -38,7 +38,9 @@ def _route_frames(spark):
         "route_id string, predicted_eta timestamp_ntz")
     prof = spark.createDataFrame([], "client_id string, stop_id string, avg_switch_seconds int")
     opt = spark.createDataFrame([], "client_id string, segment_type string")
-    geo = spark.createDataFrame([], "client_id string")
+    geo = spark.createDataFrame([("c1", 59.31, 18.02, 1.0, t0 - dt.timedelta(hours=1), t0 - dt.timedelta(hours=1), 1)],
+                                "client_id string, lat double, lon double, speed double, updated_at timestamp_ntz, "
+                                "timestamp timestamp_ntz, id long")
     return targets, astar, mapf, cand, prof, opt, geo
 
 
@@ -46,6 +48,7 @@ def test_choose_route_branches(spark):
     out = {r["client_id"]: r for r in rt.choose_route(*_route_frames(spark), AS_OF).collect()}
     assert "c0" not in out
     assert out["c1"]["segment_type"] == "fallback" and out["c1"]["decision_branch"] == "no_astar"
+    assert (out["c1"]["origin_lat"], out["c1"]["origin_lon"]) == (59.31, 18.02)  # where the client is
     assert out["c2"]["segment_type"] == "direct" and out["c2"]["decision_branch"] == "no_mapf"
     assert out["c3"]["segment_type"] == "direct" and out["c3"]["decision_branch"] == "no_departure"
     # heuristic: 500 < 600 + 100 + 30 -> direct ; 2000 >= 730 -> multimodal
@@ -71,7 +74,7 @@ def test_reroute_reasons(spark):
     cand = spark.createDataFrame([("passed", "7", "t", t_old, 0), ("late", "8", "t", AS_OF, 200)],
                                  "client_id string, stop_id string, trip_id string, departure_time timestamp_ntz, "
                                  "delay_seconds int").withColumn("predicted_eta", F.lit(None).cast("timestamp_ntz"))
-    streaks = spark.createDataFrame([("off", 1)], "client_id string, streak int")
+    streaks = spark.createDataFrame([("off", 2)], "client_id string, streak int")
     got = {r["client_id"]: r["reason"] for r in rt.reroute_reasons(choice, pos, cand, AS_OF, streaks).collect()}
     assert got["nopath"] == "no_path_in_choice"
     assert got["off"].startswith("off_path_") and got["off"].endswith("m")
