@@ -18,8 +18,8 @@ ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
 def normalised(text: str | Column) -> Column:
-    """Each run of ASCII white space becomes one space."""
-    return F.regexp_replace(text_or_empty(text), "[\\x20\\x09-\\x0D]+", " ")
+    """Each run of ASCII white space becomes one space; single spaces are no match, as they stay anyway."""
+    return F.regexp_replace(text_or_empty(text), "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+", " ")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -30,10 +30,10 @@ THRESHOLD = (90, 100)
 #: Fragments of the global order: one per frequency class beyond the rare ones, the rare ones cut by hash.
 RARE_FRAGMENTS = 7
 #: Buckets of the frequency sketch as a power of two (4 MB), and the text one local count covers.
-SKETCH_BITS = 20
-LOCAL_BYTES = 8 << 20
+SKETCH_BITS = 22
+LOCAL_BYTES = 32 << 20
 #: Counts up to this are one class: rare.
-RARE = 16
+RARE = 8
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,7 @@ def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndar
 
 
 def _sketch(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    total = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
 
     def add(hashes: list[np.ndarray]) -> None:
         u, n = np.unique(np.concatenate(hashes), return_counts=True)
@@ -68,7 +68,7 @@ def _sketch(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     if local:
         add(local)
     hit = np.flatnonzero(total > 2)
-    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["bucket", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit].astype(np.int64))], names=["bucket", "n"])
 
 
 def frequency_classes(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
@@ -187,43 +187,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     copies = named.select("id", "s1", "s2").join(groups, ["s1", "s2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     reps = named.join(groups.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi")
-    tokens = reps.select("id", "s1", "n", F.explode("prefix").alias("t"))
-    star = tokens.groupBy("t").agg(F.min(F.struct("id", "s1", "n")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared = materialize(tokens.join(star, "t").select("t", "id", "s1", "n", "c"), "shared")
-
-    def alike(x, y):  # sizes that can still reach the threshold
-        return (den * F.least(x, y) >= num * F.greatest(x, y))
-
-    def needed(x, y):  # common first shingles of a pair that reaches the threshold
-        least = F.ceil(F.lit(num) * (x + y) / F.lit(num + den)).cast("long")
-
-        def spare(n):
-            return n - F.ceil(F.lit(num) * n / F.lit(den)).cast("long") + 1 - (n - least)
-        return F.greatest(F.least(spare(x), spare(y)), F.lit(1))
-
-    sizes = needed(F.col("an"), F.col("bn"))
-    pair = ["a", "as1", "an", "b", "bs1", "bn"]
-    first = (shared.where((F.col("id") != F.col("c.id")) | (F.col("s1") != F.col("c.s1"))).where(alike(F.col("n"), F.col("c.n")))
-             .select(F.col("c.id").alias("a"), F.col("c.s1").alias("as1"), F.col("c.n").alias("an"),
-                     F.col("id").alias("b"), F.col("s1").alias("bs1"), F.col("n").alias("bn"))
-             .groupBy(*pair).agg(F.count(F.lit(1)).alias("k")).where(2 * F.col("k") >= sizes).drop("k"))  # half: others share the star
+    tokens = reps.select("id", "s1", "n", F.posexplode("prefix").alias("i", "t"))
+    star = tokens.groupBy("t").agg(F.min(F.struct("id", "s1", "n", "i")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = materialize(tokens.join(star, "t").select("t", "i", "id", "s1", "n", "c"), "shared")
+
+    def least(x, y):  # common shingles that a pair of these sizes needs
+        return F.ceil(F.lit(num) * (x + y) / F.lit(num + den)).cast("long")
+
+    def meet(x, y):  # may this shingle be the pair's first common one, by sizes and places in the order?
+        n, i, m, j = F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{y}.n"), F.col(f"{y}.i")
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & (i <= n - least(n, m)) & (j <= m - least(n, m))
+
+    def pair(x, y):
+        return [F.col(f"{v}.{c}").alias(w) for v, ws in ((x, ("a", "as1", "an")), (y, ("b", "bs1", "bn")))
+                for c, w in zip(("id", "s1", "n"), ws)]
+
+    def likely(pairs):
+        """Pairs with as many common first shingles as those that reach the threshold must have."""
+        spare = [n - F.ceil(F.lit(num) * n / F.lit(den)).cast("long") + 1 - (n - least(F.col("an"), F.col("bn")))
+                 for n in (F.col("an"), F.col("bn"))]
+        pairs = materialize(pairs, "likely")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        of = only_ids(sets.select("id", "s1", "prefix"), "id", ids).dropDuplicates(["id", "s1"])
+        both = (pairs.join(of.select(F.col("id").alias("a"), F.col("s1").alias("as1"), F.col("prefix").alias("ap")), ["a", "as1"])
+                .join(of.select(F.col("id").alias("b"), F.col("s1").alias("bs1"), F.col("prefix").alias("bp")), ["b", "bs1"]))
+        return both.where(F.size(F.array_intersect("ap", "bp")) >= F.least(*spare)).select(pairs.columns)
+
+    first = shared.select(F.struct("t", "i", "id", "s1", "n").alias("x"), F.col("c").alias("y"))
+    first = first.where((F.col("x.id") != F.col("y.id")) | (F.col("x.s1") != F.col("y.s1"))).where(meet("x", "y"))
+    first = likely(first.select(*pair("y", "x")).distinct())
     first = materialize(first, "pairs")
     close = materialize(linked(overlaps(first, docs, id_col, text_col, size, classes), threshold).select("a", "b"), "links")
     label = components(close.select(F.col("a").alias("u"), F.col("b").alias("v")).union(copies))
     known = shared.drop("c").join(label, F.col("id") == F.col("node"), "left").select(
-        "t", "id", "s1", "n", F.coalesce("component", "id").alias("l"))
+        "t", "i", "id", "s1", "n", F.coalesce("component", "id").alias("l"))
     mixed = known.groupBy("t").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo < hi").select("t")
     known = materialize(known.join(mixed, "t", "left_semi"), "mixed")
-    x, y = known.alias("x"), known.alias("y")
-    later = (x.join(y, "t").where((F.col("x.l") < F.col("y.l")) & alike(F.col("x.n"), F.col("y.n")))
-             .select(F.col("x.id").alias("a"), F.col("x.s1").alias("as1"), F.col("x.n").alias("an"),
-                     F.col("y.id").alias("b"), F.col("y.s1").alias("bs1"), F.col("y.n").alias("bn"),
-                     F.col("x.l").alias("al"), F.col("y.l").alias("bl"))
-             .groupBy(*pair, "al", "bl").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= sizes).drop("k"))
+    # of a pair the smaller set (the smaller id of equal sizes) has the shingle among its very first
+    x, y = known.alias("x"), known.where(F.col("i") <= F.col("n") - least(F.col("n"), F.col("n"))).alias("y")
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
+    later = (x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.l") != F.col("y.l")) & smaller & meet("x", "y"))
+             .select(*pair("y", "x"), F.col("y.l").alias("al"), F.col("x.l").alias("bl")).distinct())
     key = ["a", "as1", "b", "bs1"]
     # a pair of the first round that failed may come again either way round
     tried = first.select(*key).union(first.select(F.col("b"), F.col("bs1"), F.col("a"), F.col("as1")))
-    later = materialize(later.join(tried, key, "left_anti"), "pairs")
+    later = materialize(likely(later.join(tried, key, "left_anti")), "pairs")
     more = linked(overlaps(later.drop("al", "bl"), docs, id_col, text_col, size, classes), threshold).select(*key)
     joined = components(later.join(more, key).select(F.col("al").alias("u"), F.col("bl").alias("v")))
     final = (label.join(joined.select(F.col("node").alias("j"), F.col("component").alias("c2")), F.col("component") == F.col("j"), "left")

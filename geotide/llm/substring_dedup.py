@@ -1,13 +1,14 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Anchors: each window of ``size`` words has an anchor, the smallest hash of its shorter word runs, so
-   equal windows have equal anchors.  Anchors that occur once rule their windows out; a bounded bitmap
-   keeps the others (false positives only cost time).
-2. Phrases: consecutive windows with one anchor are one phrase.  Phrases that occur again, and windows of
+   equal windows have equal anchors.  Anchors that occur once rule their windows out, and so do windows
+   that occur once; bounded bitmaps keep the others (false positives only cost time).
+2. Phrases: consecutive recurring windows with one anchor are one phrase.  Phrases that occur again, and windows of
    differing phrases that occur again, are confirmed by grouping their hashes; each has a first place.
-3. Automata: documents are dealt to shards of bounded text, confirmed phrases to the shards that hold
+3. Automata: documents with a recurring window are dealt to shards of bounded text, confirmed phrases to the shards that hold
    them, and each shard compiles one Aho-Corasick automaton over word numbers and streams its documents
-   through it.  Every occurrence but the first is removed.
+   through it.  Every occurrence but the first is removed.  Documents without such a window pass
+   straight through.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotide.llm.shared import text_or_empty
-from geotide.llm.words import Words, chunks, mix, running, sequences, words
+from geotide.llm.words import Words, chunks, mix, per_document, running, sequences, words
 from geotide.session import materialize
 
 _U = np.uint64
@@ -67,7 +68,26 @@ def recurring_anchors(docs: DataFrame, size: int, run: int) -> np.ndarray:
                 n = n[np.searchsorted(u, used)]
                 yield pa.RecordBatch.from_arrays([pa.array(used.view(np.int64)), pa.array(np.minimum(n, 2))], names=["m", "n"])
 
-    often = docs.select("text").mapInArrow(emit, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1")
+    return _bitmap(docs.select("text").mapInArrow(emit, "m long, n long"))
+
+
+def recurring_windows(docs: DataFrame, anchored, size: int, run: int) -> np.ndarray:
+    """Bitmap of the windows with a recurring anchor that stand at two places or more."""
+
+    def emit(batches):
+        for batch in batches:
+            for _, _, data, at in chunks(batch.column(0)):
+                w = words(data, at)
+                low, ok, _, _ = anchors(w, size, run)
+                ok[ok] = _in_bitmap(anchored.value, low[ok])
+                u, n = np.unique(sequences(w, size)[0][ok], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.minimum(n, 2))], names=["m", "n"])
+
+    return _bitmap(docs.select("text").mapInArrow(emit, "m long, n long"))
+
+
+def _bitmap(counted: DataFrame) -> np.ndarray:
+    often = counted.groupBy("m").agg(F.sum("n").alias("n")).where("n > 1")
     word = F.shiftrightunsigned("m", 64 - BITMAP_BITS + 6)
     bit = F.shiftrightunsigned("m", 64 - BITMAP_BITS).bitwiseAND(F.lit(63).cast("long")).cast("int")
     packed = (often.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
@@ -83,7 +103,7 @@ def _in_bitmap(bitmap: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def phrases(rows: DataFrame, bitmap, size: int, run: int, with_windows: bool) -> DataFrame:
-    """(p, shard, id, start, n[, windows]): runs of consecutive windows with one recurring anchor.
+    """(p, shard, id, start, n[, windows]): runs of consecutive recurring windows with one anchor.
 
     ``p`` is the hash of all words of the run, ``n`` its windows; within a chunk only the first of equal
     phrases of a shard is emitted (and the number of its places).
@@ -98,7 +118,7 @@ def phrases(rows: DataFrame, bitmap, size: int, run: int, with_windows: bool) ->
                 low, ok, _, _ = anchors(w, size, run)
                 doc = w.doc_of_word()
                 inside = ok.copy()
-                inside[ok] = _in_bitmap(bitmap.value, low[ok])
+                inside[ok] = _in_bitmap(bitmap.value, sequences(w, size)[0][ok])
                 begins = inside.copy()
                 begins[1:] &= ~(inside[:-1] & (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]))
                 start = np.flatnonzero(begins)
@@ -202,6 +222,34 @@ def _stream(size: int, docs: pa.Table, patterns: pa.Table) -> pa.Table:
                      "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
 
 
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+
+
+def _untouched(rows: DataFrame, bitmap, size: int, wanted: bool) -> DataFrame:
+    """Documents without any recurring window lose nothing: their results (``wanted``), or all other documents as they are."""
+
+    def emit(batches):
+        for batch in batches:
+            for lo, hi, data, at in chunks(batch.column(2)):
+                w = words(data, at)
+                h, ok = sequences(w, size)
+                hit = np.zeros(len(ok), dtype=bool)
+                hit[ok] = _in_bitmap(bitmap.value, h[ok])
+                touched = per_document(w, hit) > 0
+                part = batch.slice(lo, hi - lo)
+                if not wanted:
+                    yield part.filter(pa.array(touched))
+                    continue
+                keep = np.flatnonzero(~touched)
+                part = part.take(pa.array(keep))
+                digests = [hashlib.sha256(b" ".join((t.as_py() or "").encode().split())).hexdigest() for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(3), pa.array(np.diff(w.first)[keep]), pa.array(np.zeros(len(keep), np.int64)), pa.array(digests, pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return rows.mapInArrow(emit, RESULT if wanted else rows.schema)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, run: int = RUN) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row: words in windows that also start earlier go.
 
@@ -212,8 +260,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.char_length(text_or_empty(text_col)).cast("long"))).first()[0] or 0
     rows = _keyed(docs, id_col, text_col, max(1, -(-chars // SHARD_CHARS)))
-    bitmap = spark.sparkContext.broadcast(recurring_anchors(rows, size, run))  # 2**BITMAP_BITS bits
+    anchored = spark.sparkContext.broadcast(recurring_anchors(rows, size, run))  # 2**BITMAP_BITS bits each
+    bitmap = spark.sparkContext.broadcast(recurring_windows(rows, anchored, size, run))
     patterns = confirmed(rows.select("id", "shard", "text"), bitmap, size, run)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return (rows.groupBy("shard").cogroup(patterns.groupBy("shard"))
-            .applyInArrow(lambda left, right: _stream(size, left, right), schema))
+    rest = _untouched(rows, bitmap, size, False)
+    streamed = (rest.groupBy("shard").cogroup(patterns.groupBy("shard"))
+                .applyInArrow(lambda left, right: _stream(size, left, right), RESULT))
+    return _untouched(rows, bitmap, size, True).unionByName(streamed)
