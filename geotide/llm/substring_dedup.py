@@ -29,8 +29,8 @@ _U = np.uint64
 #: Words of a window, and of the runs whose smallest hash is its anchor.
 SIZE = 20
 RUN = 8
-#: Bits of the bitmap of recurring anchors as a power of two (16 MB), and characters of text per shard.
-BITMAP_BITS = 27
+#: Bits of the bitmap of recurring anchors as a power of two (4 MB), and characters of text per shard.
+BITMAP_BITS = 25
 SHARD_CHARS = 1_000_000
 
 
