@@ -102,7 +102,17 @@ def _in_bitmap(bitmap: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
 
 
-def phrases(rows: DataFrame, bitmap, size: int, run: int, with_windows: bool) -> DataFrame:
+def _recurring(w: Words, anchored, bitmap, size: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that both bitmaps keep, with the anchor and the hash of the window at each word."""
+    low, ok, _, _ = anchors(w, size, run)
+    h, _ = sequences(w, size)
+    inside = ok.copy()
+    inside[ok] = _in_bitmap(anchored.value, low[ok])
+    inside[inside] = _in_bitmap(bitmap.value, h[inside])
+    return inside, low, h
+
+
+def phrases(rows: DataFrame, anchored, bitmap, size: int, run: int, with_windows: bool) -> DataFrame:
     """(p, shard, id, start, n[, windows]): runs of consecutive recurring windows with one anchor.
 
     ``p`` is the hash of all words of the run, ``n`` its windows; within a chunk only the first of equal
@@ -115,10 +125,8 @@ def phrases(rows: DataFrame, bitmap, size: int, run: int, with_windows: bool) ->
             shard = batch.column(1).to_numpy()
             for lo, _, data, at in chunks(batch.column(2)):
                 w = words(data, at)
-                low, ok, _, _ = anchors(w, size, run)
+                inside, low, h = _recurring(w, anchored, bitmap, size, run)
                 doc = w.doc_of_word()
-                inside = ok.copy()
-                inside[ok] = _in_bitmap(bitmap.value, sequences(w, size)[0][ok])
                 begins = inside.copy()
                 begins[1:] &= ~(inside[:-1] & (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]))
                 start = np.flatnonzero(begins)
@@ -136,7 +144,6 @@ def phrases(rows: DataFrame, bitmap, size: int, run: int, with_windows: bool) ->
                            pa.array(times.astype(np.int32))]
                 names = ["p", "shard", "id", "start", "n", "times"]
                 if with_windows:
-                    h, _ = sequences(w, size)
                     cut = np.concatenate([[0], np.cumsum(n[pick])])
                     flat = np.arange(cut[-1]) - np.repeat(cut[:-1] - start[pick], n[pick])
                     columns.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h[flat].view(np.int64))))
@@ -153,13 +160,13 @@ def _run_hashes(w: Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return mix((total[start + length] - total[start]) * back[start])
 
 
-def confirmed(rows: DataFrame, bitmap, size: int, run: int) -> DataFrame:
+def confirmed(rows: DataFrame, anchored, bitmap, size: int, run: int) -> DataFrame:
     """Patterns by shard: (shard, p, id, start, len, f_id, f_start), a phrase's place in the shard and its first of all."""
     place = F.struct("id", "start", "shard", "n", "windows")
-    firsts = materialize(phrases(rows, bitmap, size, run, True).groupBy("p")
+    firsts = materialize(phrases(rows, anchored, bitmap, size, run, True).groupBy("p")
                          .agg(F.min(place).alias("f"), F.sum("times").alias("times")), "phrases")
     often = firsts.where("times > 1").select("p", F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start"))
-    local = phrases(rows, bitmap, size, run, False).groupBy("p", "shard").agg(F.min(F.struct("id", "start", "n")).alias("l"))
+    local = phrases(rows, anchored, bitmap, size, run, False).groupBy("p", "shard").agg(F.min(F.struct("id", "start", "n")).alias("l"))
     whole = local.join(often, "p").select("shard", "p", F.col("l.id").alias("id"), F.col("l.start").alias("start"),
                                           (F.col("l.n") + (size - 1)).alias("len"), "f_id", "f_start")
     # windows that stand in differing phrases: among first places only, all other places of a phrase are known
@@ -225,17 +232,14 @@ def _stream(size: int, docs: pa.Table, patterns: pa.Table) -> pa.Table:
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _untouched(rows: DataFrame, bitmap, size: int, wanted: bool) -> DataFrame:
+def _untouched(rows: DataFrame, anchored, bitmap, size: int, run: int, wanted: bool) -> DataFrame:
     """Documents without any recurring window lose nothing: their results (``wanted``), or all other documents as they are."""
 
     def emit(batches):
         for batch in batches:
             for lo, hi, data, at in chunks(batch.column(2)):
                 w = words(data, at)
-                h, ok = sequences(w, size)
-                hit = np.zeros(len(ok), dtype=bool)
-                hit[ok] = _in_bitmap(bitmap.value, h[ok])
-                touched = per_document(w, hit) > 0
+                touched = per_document(w, _recurring(w, anchored, bitmap, size, run)[0]) > 0
                 part = batch.slice(lo, hi - lo)
                 if not wanted:
                     yield part.filter(pa.array(touched))
@@ -262,8 +266,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _keyed(docs, id_col, text_col, max(1, -(-chars // SHARD_CHARS)))
     anchored = spark.sparkContext.broadcast(recurring_anchors(rows, size, run))  # 2**BITMAP_BITS bits each
     bitmap = spark.sparkContext.broadcast(recurring_windows(rows, anchored, size, run))
-    patterns = confirmed(rows.select("id", "shard", "text"), bitmap, size, run)
-    rest = _untouched(rows, bitmap, size, False)
+    patterns = confirmed(rows.select("id", "shard", "text"), anchored, bitmap, size, run)
+    rest = _untouched(rows, anchored, bitmap, size, run, False)
     streamed = (rest.groupBy("shard").cogroup(patterns.groupBy("shard"))
                 .applyInArrow(lambda left, right: _stream(size, left, right), RESULT))
-    return _untouched(rows, bitmap, size, True).unionByName(streamed)
+    return _untouched(rows, anchored, bitmap, size, run, True).unionByName(streamed)
