@@ -66,7 +66,7 @@ def recurring_anchors(docs: DataFrame, size: int, run: int) -> np.ndarray:
                 used = np.unique(low[ok])
                 u, n = np.unique(h[ok_run], return_counts=True)
                 n = n[np.searchsorted(u, used)]
-                yield pa.RecordBatch.from_arrays([pa.array(used.view(np.int64)), pa.array(np.minimum(n, 2))], names=["m", "n"])
+                yield pa.RecordBatch.from_arrays([_short(used), pa.array(np.minimum(n, 2))], names=["m", "n"])
 
     return _bitmap(docs.select("text").mapInArrow(emit, "m long, n long"))
 
@@ -81,15 +81,20 @@ def recurring_windows(docs: DataFrame, anchored, size: int, run: int) -> np.ndar
                 low, ok, _, _ = anchors(w, size, run)
                 ok[ok] = _in_bitmap(anchored.value, low[ok])
                 u, n = np.unique(sequences(w, size)[0][ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.minimum(n, 2))], names=["m", "n"])
+                yield pa.RecordBatch.from_arrays([_short(u), pa.array(np.minimum(n, 2))], names=["m", "n"])
 
     return _bitmap(docs.select("text").mapInArrow(emit, "m long, n long"))
 
 
+def _short(h: np.ndarray) -> pa.Array:
+    """The upper 32 bits: enough to count for a bitmap of fewer bits, and half of the shuffle."""
+    return pa.array((h >> _U(32)).astype(np.int64))
+
+
 def _bitmap(counted: DataFrame) -> np.ndarray:
     often = counted.groupBy("m").agg(F.sum("n").alias("n")).where("n > 1")
-    word = F.shiftrightunsigned("m", 64 - BITMAP_BITS + 6)
-    bit = F.shiftrightunsigned("m", 64 - BITMAP_BITS).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    word = F.shiftrightunsigned("m", 32 - BITMAP_BITS + 6)
+    bit = F.shiftrightunsigned("m", 32 - BITMAP_BITS).bitwiseAND(F.lit(63).cast("long")).cast("int")
     packed = (often.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
               .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())  # 2**(BITMAP_BITS-6) rows at most
     out = np.zeros(1 << (BITMAP_BITS - 6), dtype=_U)
@@ -160,6 +165,33 @@ def _run_hashes(w: Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return mix((total[start + length] - total[start]) * back[start])
 
 
+def _twice_among(firsts: DataFrame) -> np.ndarray:
+    """Bitmap of the windows that stand at two first places or more."""
+
+    def emit(batches):
+        for batch in batches:
+            u, n = np.unique(batch.column(0).flatten().to_numpy().view(_U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_short(u), pa.array(np.minimum(n, 2))], names=["m", "n"])
+
+    return _bitmap(firsts.select("f.windows").mapInArrow(emit, "m long, n long"))
+
+
+def _places(firsts: DataFrame, twice) -> DataFrame:
+    """(w, id, start, shard) of the windows of first places that the bitmap keeps."""
+
+    def emit(batches):
+        for batch in batches:
+            h = batch.column(3).flatten().to_numpy().view(_U)
+            n = np.diff(batch.column(3).offsets.to_numpy())
+            hit = np.flatnonzero(_in_bitmap(twice.value, h))
+            of = np.repeat(np.arange(len(n)), n)[hit]
+            start = batch.column(1).to_numpy()[of] + hit - (np.cumsum(n) - n)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), batch.column(0).take(pa.array(of)), pa.array(start.astype(np.int32)),
+                                              batch.column(2).take(pa.array(of))], names=["w", "id", "start", "shard"])
+
+    return firsts.select("f.id", "f.start", "f.shard", "f.windows").mapInArrow(emit, "w long, id long, start int, shard int")
+
+
 def confirmed(rows: DataFrame, anchored, bitmap, size: int, run: int) -> DataFrame:
     """Patterns by shard: (shard, p, id, start, len, f_id, f_start), a phrase's place in the shard and its first of all."""
     place = F.struct("id", "start", "shard", "n", "windows")
@@ -170,8 +202,7 @@ def confirmed(rows: DataFrame, anchored, bitmap, size: int, run: int) -> DataFra
     whole = local.join(often, "p").select("shard", "p", F.col("l.id").alias("id"), F.col("l.start").alias("start"),
                                           (F.col("l.n") + (size - 1)).alias("len"), "f_id", "f_start")
     # windows that stand in differing phrases: among first places only, all other places of a phrase are known
-    single = firsts.select("f.id", "f.start", "f.shard", F.posexplode("f.windows").alias("k", "w")).select(
-        "w", "id", (F.col("start") + F.col("k")).alias("start"), "shard")
+    single = _places(firsts, rows.sparkSession.sparkContext.broadcast(_twice_among(firsts)))  # 2**BITMAP_BITS bits
     again = (single.groupBy("w").agg(F.min(F.struct("id", "start")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
              .select("w", F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start")))
     parts = (single.join(again, "w").where("id <> f_id or start <> f_start")
