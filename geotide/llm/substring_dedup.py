@@ -1,14 +1,14 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Anchors: each window of ``size`` words has an anchor, the smallest hash of its shorter word runs, so
-   equal windows have equal anchors.  Anchors that occur once rule their windows out, and so do windows
-   that occur once; bounded bitmaps keep the others (false positives only cost time).
-2. Phrases: consecutive recurring windows with one anchor are one phrase.  Phrases that occur again, and windows of
-   differing phrases that occur again, are confirmed by grouping their hashes; each has a first place.
-3. Automata: documents with a recurring window are dealt to shards of bounded text, confirmed phrases to the shards that hold
+   equal windows have equal anchors.  Consecutive windows with one anchor are one phrase.  A bounded bitmap
+   rules out anchors that occur once (false positives only cost time).
+2. Phrases: the others are confirmed by grouping their hashes; each has a first place.  A window can stand in
+   differing phrases only where these share an anchor: such windows are confirmed by grouping too, each from the first
+   place of its phrase, because all other places of the phrase are known.
+3. Automata: all documents are dealt to shards of bounded text, confirmed phrases to the shards that hold
    them, and each shard compiles one Aho-Corasick automaton over word numbers and streams its documents
-   through it.  Every occurrence but the first is removed.  Documents without such a window pass
-   straight through.
+   through it.  Every occurrence but the first is removed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotide.llm.shared import text_or_empty
-from geotide.llm.words import Words, chunks, mix, per_document, running, sequences, words
+from geotide.llm.words import Words, chunks, mix, running, sequences, words
 from geotide.session import materialize
 
 _U = np.uint64
@@ -29,8 +29,8 @@ _U = np.uint64
 #: Words of a window, and of the runs whose smallest hash is its anchor.
 SIZE = 20
 RUN = 8
-#: Bits of the bitmap of recurring anchors as a power of two (4 MB), and characters of text per shard.
-BITMAP_BITS = 25
+#: Bits of a bitmap as a power of two (16 MB), and characters of text per shard.
+BITMAP_BITS = 27
 SHARD_CHARS = 1_000_000
 
 
@@ -71,21 +71,6 @@ def recurring_anchors(docs: DataFrame, size: int, run: int) -> np.ndarray:
     return _bitmap(docs.select("text").mapInArrow(emit, "m long, n long"))
 
 
-def recurring_windows(docs: DataFrame, anchored, size: int, run: int) -> np.ndarray:
-    """Bitmap of the windows with a recurring anchor that stand at two places or more."""
-
-    def emit(batches):
-        for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
-                w = words(data, at)
-                low, ok, _, _ = anchors(w, size, run)
-                ok[ok] = _in_bitmap(anchored.value, low[ok])
-                u, n = np.unique(sequences(w, size)[0][ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([_short(u), pa.array(np.minimum(n, 2))], names=["m", "n"])
-
-    return _bitmap(docs.select("text").mapInArrow(emit, "m long, n long"))
-
-
 def _short(h: np.ndarray) -> pa.Array:
     """The upper 32 bits: enough to count for a bitmap of fewer bits, and half of the shuffle."""
     return pa.array((h >> _U(32)).astype(np.int64))
@@ -96,9 +81,9 @@ def _bitmap(counted: DataFrame) -> np.ndarray:
     word = F.shiftrightunsigned("m", 32 - BITMAP_BITS + 6)
     bit = F.shiftrightunsigned("m", 32 - BITMAP_BITS).bitwiseAND(F.lit(63).cast("long")).cast("int")
     packed = (often.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
-              .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())  # 2**(BITMAP_BITS-6) rows at most
+              .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # 2**(BITMAP_BITS-6) rows at most
     out = np.zeros(1 << (BITMAP_BITS - 6), dtype=_U)
-    out[packed["w"].to_numpy(dtype=np.int64)] = packed["b"].to_numpy(dtype=np.int64).view(_U)
+    out[packed["w"].to_numpy()] = packed["b"].to_numpy().view(_U)
     return out
 
 
@@ -107,107 +92,117 @@ def _in_bitmap(bitmap: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
 
 
-def _recurring(w: Words, anchored, bitmap, size: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that both bitmaps keep, with the anchor and the hash of the window at each word."""
-    low, ok, _, _ = anchors(w, size, run)
-    h, _ = sequences(w, size)
-    inside = ok.copy()
-    inside[ok] = _in_bitmap(anchored.value, low[ok])
-    inside[inside] = _in_bitmap(bitmap.value, h[inside])
-    return inside, low, h
+def _phrases(w: Words, anchored: np.ndarray, size: int, run: int) -> tuple[np.ndarray, ...]:
+    """(start, n, p, m, more): phrases of a chunk whose anchor the bitmap keeps, as first word, number of windows, hash, anchor,
+    and whether the anchor stands there more than once, so that windows may recur within the phrase."""
+    low, inside, h, _ = anchors(w, size, run)
+    inside[inside] = _in_bitmap(anchored, low[inside])
+    doc = w.doc_of_word()
+    begins = inside.copy()
+    begins[1:] &= ~(inside[:-1] & (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]))
+    ends = inside.copy()
+    ends[:-1] &= ~(inside[1:] & ~begins[1:])
+    start = np.flatnonzero(begins)
+    n = np.flatnonzero(ends) + 1 - start
+    runs = n + size - run
+    cut = np.cumsum(runs) - runs
+    same = h[np.arange(runs.sum()) + np.repeat(start - cut, runs)] == np.repeat(low[start], runs)
+    more = np.add.reduceat(same, cut, dtype=np.int64) > 1 if len(cut) else np.zeros(0, bool)
+    return start, n, _run_hashes(w, start, n + size - 1), low[start], more
 
 
-def phrases(rows: DataFrame, anchored, bitmap, size: int, run: int, with_windows: bool) -> DataFrame:
-    """(p, shard, id, start, n[, windows]): runs of consecutive recurring windows with one anchor.
+def _run_hashes(w: Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words; for one length the same as ``sequences``."""
+    total, back = running(w.hash)
+    return mix((total[start + length] - total[start]) * back[start])
+
+
+def _place_hash(p: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(p ^ mix(ids.astype(_U) + start.astype(_U) * _U(0x9E3779B97F4A7C15)))
 
-    ``p`` is the hash of all words of the run, ``n`` its windows; within a chunk only the first of equal
-    phrases of a shard is emitted (and the number of its places).
-    """
+
+def phrases(rows: DataFrame, anchored, size: int, run: int) -> DataFrame:
+    """(p, m, id, start, times, more): every phrase with the upper half of its anchor, its first place, its number of places, and
+    1 or, where windows may recur within it, 2."""
 
     def emit(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            shard = batch.column(1).to_numpy()
-            for lo, _, data, at in chunks(batch.column(2)):
+            for lo, _, data, at in chunks(batch.column(1)):
                 w = words(data, at)
-                inside, low, h = _recurring(w, anchored, bitmap, size, run)
-                doc = w.doc_of_word()
-                begins = inside.copy()
-                begins[1:] &= ~(inside[:-1] & (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]))
-                start = np.flatnonzero(begins)
-                ends = inside.copy()
-                ends[:-1] &= ~(inside[1:] & ~begins[1:])
-                n = np.flatnonzero(ends) + 1 - start
-                name = _run_hashes(w, start, n + size - 1)
-                of = doc[start]
-                order = np.lexsort((start - w.first[of], ids[lo + of]))
-                _, first, times = np.unique(name[order] ^ (shard[lo + of[order]].astype(_U) * _U(0x9E3779B97F4A7C15)),
-                                            return_index=True, return_counts=True)
+                start, _, p, m, more = _phrases(w, anchored.value, size, run)
+                of = np.searchsorted(w.first, start, side="right") - 1
+                place = (start - w.first[of]).astype(np.int32)
+                order = np.lexsort((place, ids[lo + of]))
+                _, first, times = np.unique(p[order], return_index=True, return_counts=True)
                 pick = order[first]
-                columns = [pa.array(name[pick].view(np.int64)), pa.array(shard[lo + of[pick]]), pa.array(ids[lo + of[pick]]),
-                           pa.array((start - w.first[of])[pick].astype(np.int32)), pa.array(n[pick].astype(np.int32)),
-                           pa.array(times.astype(np.int32))]
-                names = ["p", "shard", "id", "start", "n", "times"]
-                if with_windows:
-                    cut = np.concatenate([[0], np.cumsum(n[pick])])
-                    flat = np.arange(cut[-1]) - np.repeat(cut[:-1] - start[pick], n[pick])
-                    columns.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h[flat].view(np.int64))))
-                    names.append("windows")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(p[pick].view(np.int64)), _short(m[pick]), pa.array(ids[lo + of[pick]]),
+                                                  pa.array(place[pick]), pa.array(times), pa.array(1 + more[pick].astype(np.int32))],
+                                                 names=["p", "m", "id", "start", "times", "more"])
 
-    more = ", windows array<long>" if with_windows else ""
-    return rows.mapInArrow(emit, "p long, shard int, id long, start int, n int, times int" + more)
+    found = rows.select("id", "text").mapInArrow(emit, "p long, m long, id long, start int, times long, more int")
+    return (found.groupBy("p").agg(F.min("m").alias("m"), F.min(F.struct("id", "start")).alias("f"), F.sum("times").alias("times"), F.max("more").alias("more"))
+            .select("p", "m", "f.id", "f.start", "times", "more"))
 
 
-def _run_hashes(w: Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hashes of runs of words; for one length the same as ``sequences``."""
-    total, back = running(w.hash)
-    return mix((total[start + length] - total[start]) * back[start])
-
-
-def _twice_among(firsts: DataFrame) -> np.ndarray:
-    """Bitmap of the windows that stand at two first places or more."""
+def _first_places(often: DataFrame) -> np.ndarray:
+    """Bitmap of the first places of recurring phrases."""
 
     def emit(batches):
         for batch in batches:
-            u, n = np.unique(batch.column(0).flatten().to_numpy().view(_U), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_short(u), pa.array(np.minimum(n, 2))], names=["m", "n"])
+            p, ids, start = (batch.column(k).to_numpy() for k in range(3))
+            h = _place_hash(p.view(_U), ids, start)
+            yield pa.RecordBatch.from_arrays([_short(h), pa.array(np.full(len(h), 2))], names=["m", "n"])
 
-    return _bitmap(firsts.select("f.windows").mapInArrow(emit, "m long, n long"))
+    return _bitmap(often.select("p", "id", "start").mapInArrow(emit, "m long, n long"))
 
 
-def _places(firsts: DataFrame, twice) -> DataFrame:
-    """(w, id, start, shard) of the windows of first places that the bitmap keeps."""
+def repeats(rows: DataFrame, anchored, often, ambiguous, firsts, size: int, run: int) -> DataFrame:
+    """(p, shard, id, start, len, times): places of recurring phrases, and windows that may stand in differing phrases at first places.
+
+    Within a chunk only the first of equal word runs of a shard is emitted, with the number of their places.
+    """
 
     def emit(batches):
         for batch in batches:
-            h = batch.column(3).flatten().to_numpy().view(_U)
-            n = np.diff(batch.column(3).offsets.to_numpy())
-            hit = np.flatnonzero(_in_bitmap(twice.value, h))
-            of = np.repeat(np.arange(len(n)), n)[hit]
-            start = batch.column(1).to_numpy()[of] + hit - (np.cumsum(n) - n)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), batch.column(0).take(pa.array(of)), pa.array(start.astype(np.int32)),
-                                              batch.column(2).take(pa.array(of))], names=["w", "id", "start", "shard"])
-
-    return firsts.select("f.id", "f.start", "f.shard", "f.windows").mapInArrow(emit, "w long, id long, start int, shard int")
-
-
-def confirmed(rows: DataFrame, anchored, bitmap, size: int, run: int) -> DataFrame:
-    """Patterns by shard: (shard, p, id, start, len, f_id, f_start), a phrase's place in the shard and its first of all."""
-    place = F.struct("id", "start", "shard", "n", "windows")
-    firsts = materialize(phrases(rows, anchored, bitmap, size, run, True).groupBy("p")
-                         .agg(F.min(place).alias("f"), F.sum("times").alias("times")), "phrases")
-    often = firsts.where("times > 1").select("p", F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start"))
-    local = phrases(rows, anchored, bitmap, size, run, False).groupBy("p", "shard").agg(F.min(F.struct("id", "start", "n")).alias("l"))
-    whole = local.join(often, "p").select("shard", "p", F.col("l.id").alias("id"), F.col("l.start").alias("start"),
-                                          (F.col("l.n") + (size - 1)).alias("len"), "f_id", "f_start")
-    # windows that stand in differing phrases: among first places only, all other places of a phrase are known
-    single = _places(firsts, rows.sparkSession.sparkContext.broadcast(_twice_among(firsts)))  # 2**BITMAP_BITS bits
-    again = (single.groupBy("w").agg(F.min(F.struct("id", "start")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
-             .select("w", F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start")))
-    parts = (single.join(again, "w").where("id <> f_id or start <> f_start")
-             .select("shard", F.col("w").alias("p"), "id", "start", F.lit(size).alias("len"), "f_id", "f_start"))
-    return whole.unionByName(parts)
+            ids, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, _, data, at in chunks(batch.column(2)):
+                w = words(data, at)
+                start, n, p, m, _ = _phrases(w, anchored.value, size, run)
+                of = np.searchsorted(w.first, start, side="right") - 1
+                again = _in_bitmap(often.value, p)
+                wide = _in_bitmap(ambiguous.value, m)
+                wide[wide & again] = _in_bitmap(firsts.value, _place_hash(p, ids[lo + of], start - w.first[of])[wide & again])
+                some = n[wide]
+                flat = np.arange(some.sum()) + np.repeat(start[wide] - np.cumsum(some) + some, some)
+                name = np.concatenate([p[again], _run_hashes(w, flat, np.full(len(flat), size))])
+                word = np.concatenate([start[again], flat])
+                length = np.concatenate([n[again] + size - 1, np.full(len(flat), size)])
+                of = lo + np.concatenate([of[again], np.repeat(of[wide], some)])
+                place = word - w.first[of - lo]
+                order = np.lexsort((place, ids[of]))
+                _, first, times = np.unique(name[order] ^ mix(shard[of[order]].astype(_U) + _U(1)), return_index=True, return_counts=True)
+                pick = order[first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[pick].view(np.int64)), pa.array(shard[of[pick]]), pa.array(ids[of[pick]]), pa.array(place[pick].astype(np.int32)),
+                     pa.array(length[pick].astype(np.int32)), pa.array(times.astype(np.int32))], names=["p", "shard", "id", "start", "len", "times"])
+
+    return rows.mapInArrow(emit, "p long, shard int, id long, start int, len int, times int")
+
+
+def confirmed(rows: DataFrame, anchored, size: int, run: int) -> DataFrame:
+    """Patterns by shard: (shard, p, id, start, len, f_id, f_start), a word run's place in the shard and its first of all."""
+    share = rows.sparkSession.sparkContext.broadcast  # 2**BITMAP_BITS bits each
+    found = materialize(phrases(rows, anchored, size, run), "phrases")
+    often = found.where("times > 1")
+    half = F.shiftrightunsigned("p", 32).alias("m")
+    places = materialize(repeats(rows, anchored, share(_bitmap(often.select(half, F.lit(2).alias("n")))),
+                                 share(_bitmap(found.select("m", F.col("more").alias("n")))), share(_first_places(often)), size, run), "places")
+    first = (places.groupBy("p").agg(F.min(F.struct("id", "start")).alias("f"), F.sum("times").alias("times"))
+             .where("times > 1").select("p", "f"))
+    local = places.groupBy("p", "shard").agg(F.min(F.struct("id", "start", "len")).alias("l"))
+    return local.join(first, "p").select("shard", "p", F.col("l.id").alias("id"), F.col("l.start").alias("start"), F.col("l.len").alias("len"),
+                                         F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start"))
 
 
 def _compile(patterns: pa.Table, w: Words, numbers: np.ndarray, ids: np.ndarray):
@@ -263,28 +258,6 @@ def _stream(size: int, docs: pa.Table, patterns: pa.Table) -> pa.Table:
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _untouched(rows: DataFrame, anchored, bitmap, size: int, run: int, wanted: bool) -> DataFrame:
-    """Documents without any recurring window lose nothing: their results (``wanted``), or all other documents as they are."""
-
-    def emit(batches):
-        for batch in batches:
-            for lo, hi, data, at in chunks(batch.column(2)):
-                w = words(data, at)
-                touched = per_document(w, _recurring(w, anchored, bitmap, size, run)[0]) > 0
-                part = batch.slice(lo, hi - lo)
-                if not wanted:
-                    yield part.filter(pa.array(touched))
-                    continue
-                keep = np.flatnonzero(~touched)
-                part = part.take(pa.array(keep))
-                digests = [hashlib.sha256(b" ".join((t.as_py() or "").encode().split())).hexdigest() for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(3), pa.array(np.diff(w.first)[keep]), pa.array(np.zeros(len(keep), np.int64)), pa.array(digests, pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return rows.mapInArrow(emit, RESULT if wanted else rows.schema)
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, run: int = RUN) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row: words in windows that also start earlier go.
 
@@ -295,10 +268,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.char_length(text_or_empty(text_col)).cast("long"))).first()[0] or 0
     rows = _keyed(docs, id_col, text_col, max(1, -(-chars // SHARD_CHARS)))
-    anchored = spark.sparkContext.broadcast(recurring_anchors(rows, size, run))  # 2**BITMAP_BITS bits each
-    bitmap = spark.sparkContext.broadcast(recurring_windows(rows, anchored, size, run))
-    patterns = confirmed(rows.select("id", "shard", "text"), anchored, bitmap, size, run)
-    rest = _untouched(rows, anchored, bitmap, size, run, False)
-    streamed = (rest.groupBy("shard").cogroup(patterns.groupBy("shard"))
-                .applyInArrow(lambda left, right: _stream(size, left, right), RESULT))
-    return _untouched(rows, anchored, bitmap, size, run, True).unionByName(streamed)
+    anchored = spark.sparkContext.broadcast(recurring_anchors(rows, size, run))  # 2**BITMAP_BITS bits
+    patterns = confirmed(rows.select("id", "shard", "text"), anchored, size, run)
+    return (rows.groupBy("shard").cogroup(patterns.groupBy("shard"))
+            .applyInArrow(lambda left, right: _stream(size, left, right), RESULT))
