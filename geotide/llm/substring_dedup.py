@@ -200,9 +200,7 @@ def confirmed(rows: DataFrame, anchored, size: int, run: int) -> DataFrame:
                                  share(_bitmap(found.select("m", F.col("more").alias("n")))), share(_first_places(often)), size, run), "places")
     first = (places.groupBy("p").agg(F.min(F.struct("id", "start")).alias("f"), F.sum("times").alias("times"))
              .where("times > 1").select("p", "f"))
-    local = places.groupBy("p", "shard").agg(F.min(F.struct("id", "start", "len")).alias("l"))
-    return local.join(first, "p").select("shard", "p", F.col("l.id").alias("id"), F.col("l.start").alias("start"), F.col("l.len").alias("len"),
-                                         F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start"))
+    return places.join(first, "p").select("shard", "p", "id", "start", "len", F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start"))
 
 
 def _compile(patterns: pa.Table, w: Words, numbers: np.ndarray, ids: np.ndarray):
