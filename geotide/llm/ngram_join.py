@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotide.llm.bitmaps import bitmap, in_bitmap, upper_half
 from geotide.llm.shared import components, only_ids
 from geotide.llm.words import chunks, mix, sequences, words
 from geotide.session import materialize
@@ -109,25 +110,44 @@ def _sets(batch: pa.RecordBatch, size: int, classes: np.ndarray) -> Iterator[tup
             yield ids[lo + k], np.unique(order[first[k]:first[k + 1]])
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, classes, threshold: tuple[int, int]) -> DataFrame:
-    """(id, s1, s2, n, prefix): each document's set as a 128-bit name, its size and its first shingles."""
+def _prefix(s: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """First shingles of a set: a set that reaches the threshold with it shares one of them."""
     num, den = threshold
+    return s[:len(s) - -(-num * len(s) // den) + 1]
+
+
+def recurring_shingles(rows: DataFrame, size: int, classes, threshold: tuple[int, int]) -> np.ndarray:
+    """Bitmap of the first shingles that two rows or more have: the others open no pair."""
+
+    def run(batches):
+        for batch in batches:
+            first = [_prefix(s, threshold) for _, s in _sets(batch, size, classes.value)]
+            u, n = np.unique(mix(np.concatenate(first)) if first else np.zeros(0, _U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([upper_half(u), pa.array(np.minimum(n, 2))], names=["m", "n"])
+
+    return bitmap(rows.mapInArrow(run, "m long, n long"))
+
+
+def shingle_sets(rows: DataFrame, size: int, classes, recurring, threshold: tuple[int, int]) -> DataFrame:
+    """(id, s1, s2, n, place, prefix): each document's set as a 128-bit name, its size, and its recurring first shingles with their places."""
 
     def run(batches):
         for batch in batches:
-            ids, one, two, n, prefix = [], [], [], [], []
+            ids, one, two, n, place, prefix = [], [], [], [], [], []
             for i, s in _sets(batch, size, classes.value):
                 a, b = _set_id(s)
+                first = _prefix(s, threshold)
+                at = np.flatnonzero(in_bitmap(recurring.value, mix(first)))
                 ids.append(i)
                 one.append(a)
                 two.append(b)
                 n.append(len(s))
-                prefix.append(s[:len(s) - -(-num * len(s) // den) + 1])
+                place.append(at.astype(_U))
+                prefix.append(first[at])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                                              pa.array(n, pa.int64()), _list(prefix)], names=["id", "s1", "s2", "n", "prefix"])
+                                              pa.array(n, pa.int64()), _list(place), _list(prefix)], names=["id", "s1", "s2", "n", "place", "prefix"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, s1 long, s2 long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, s1 long, s2 long, n long, place array<long>, prefix array<long>")
 
 
 def segments(docs: DataFrame, size: int, classes) -> DataFrame:
@@ -182,12 +202,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     num, den = threshold
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs, text_col, size))  # 2**SKETCH_BITS bytes
-    sets = materialize(shingle_sets(docs, id_col, text_col, size, classes, threshold), "sets")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    recurring = spark.sparkContext.broadcast(recurring_shingles(rows, size, classes, threshold))  # 2**BITMAP_BITS bits
+    sets = materialize(shingle_sets(rows, size, classes, recurring, threshold), "sets")
     named = sets.where("n > 0 and id is not null")
     groups = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     copies = named.select("id", "s1", "s2").join(groups, ["s1", "s2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     reps = named.join(groups.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi")
-    tokens = reps.select("id", "s1", "n", F.posexplode("prefix").alias("i", "t"))
+    tokens = (reps.select("id", "s1", "n", F.explode(F.arrays_zip("place", "prefix")).alias("e"))
+              .select("id", "s1", "n", F.col("e.place").cast("int").alias("i"), F.col("e.prefix").alias("t")))
     star = tokens.groupBy("t").agg(F.min(F.struct("id", "s1", "n", "i")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = materialize(tokens.join(star, "t").select("t", "i", "id", "s1", "n", "c"), "shared")
 

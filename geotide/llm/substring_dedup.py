@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotide.llm.bitmaps import bitmap, in_bitmap, upper_half
 from geotide.llm.shared import text_or_empty
 from geotide.llm.words import Words, chunks, mix, running, sequences, words
 from geotide.session import materialize
@@ -29,8 +30,7 @@ _U = np.uint64
 #: Words of a window, and of the runs whose smallest hash is its anchor.
 SIZE = 20
 RUN = 8
-#: Bits of a bitmap as a power of two (16 MB), and characters of text per shard.
-BITMAP_BITS = 27
+#: Characters of text per shard.
 SHARD_CHARS = 1_000_000
 
 
@@ -66,37 +66,16 @@ def recurring_anchors(docs: DataFrame, size: int, run: int) -> np.ndarray:
                 used = np.unique(low[ok])
                 u, n = np.unique(h[ok_run], return_counts=True)
                 n = n[np.searchsorted(u, used)]
-                yield pa.RecordBatch.from_arrays([_short(used), pa.array(np.minimum(n, 2))], names=["m", "n"])
+                yield pa.RecordBatch.from_arrays([upper_half(used), pa.array(np.minimum(n, 2))], names=["m", "n"])
 
-    return _bitmap(docs.select("text").mapInArrow(emit, "m long, n long"))
-
-
-def _short(h: np.ndarray) -> pa.Array:
-    """The upper 32 bits: enough to count for a bitmap of fewer bits, and half of the shuffle."""
-    return pa.array((h >> _U(32)).astype(np.int64))
-
-
-def _bitmap(counted: DataFrame) -> np.ndarray:
-    often = counted.groupBy("m").agg(F.sum("n").alias("n")).where("n > 1")
-    word = F.shiftrightunsigned("m", 32 - BITMAP_BITS + 6)
-    bit = F.shiftrightunsigned("m", 32 - BITMAP_BITS).bitwiseAND(F.lit(63).cast("long")).cast("int")
-    packed = (often.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
-              .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # 2**(BITMAP_BITS-6) rows at most
-    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=_U)
-    out[packed["w"].to_numpy()] = packed["b"].to_numpy().view(_U)
-    return out
-
-
-def _in_bitmap(bitmap: np.ndarray, m: np.ndarray) -> np.ndarray:
-    at = m >> _U(64 - BITMAP_BITS)
-    return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
+    return bitmap(docs.select("text").mapInArrow(emit, "m long, n long"))
 
 
 def _phrases(w: Words, anchored: np.ndarray, size: int, run: int) -> tuple[np.ndarray, ...]:
     """(start, n, p, m, more): phrases of a chunk whose anchor the bitmap keeps, as first word, number of windows, hash, anchor,
     and whether the anchor stands there more than once, so that windows may recur within the phrase."""
     low, inside, h, _ = anchors(w, size, run)
-    inside[inside] = _in_bitmap(anchored, low[inside])
+    inside[inside] = in_bitmap(anchored, low[inside])
     doc = w.doc_of_word()
     begins = inside.copy()
     begins[1:] &= ~(inside[:-1] & (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]))
@@ -136,7 +115,7 @@ def phrases(rows: DataFrame, anchored, size: int, run: int) -> DataFrame:
                 order = np.lexsort((place, ids[lo + of]))
                 _, first, times = np.unique(p[order], return_index=True, return_counts=True)
                 pick = order[first]
-                yield pa.RecordBatch.from_arrays([pa.array(p[pick].view(np.int64)), _short(m[pick]), pa.array(ids[lo + of[pick]]),
+                yield pa.RecordBatch.from_arrays([pa.array(p[pick].view(np.int64)), upper_half(m[pick]), pa.array(ids[lo + of[pick]]),
                                                   pa.array(place[pick]), pa.array(times), pa.array(1 + more[pick].astype(np.int32))],
                                                  names=["p", "m", "id", "start", "times", "more"])
 
@@ -152,9 +131,9 @@ def _first_places(often: DataFrame) -> np.ndarray:
         for batch in batches:
             p, ids, start = (batch.column(k).to_numpy() for k in range(3))
             h = _place_hash(p.view(_U), ids, start)
-            yield pa.RecordBatch.from_arrays([_short(h), pa.array(np.full(len(h), 2))], names=["m", "n"])
+            yield pa.RecordBatch.from_arrays([upper_half(h), pa.array(np.full(len(h), 2))], names=["m", "n"])
 
-    return _bitmap(often.select("p", "id", "start").mapInArrow(emit, "m long, n long"))
+    return bitmap(often.select("p", "id", "start").mapInArrow(emit, "m long, n long"))
 
 
 def repeats(rows: DataFrame, anchored, often, ambiguous, firsts, size: int, run: int) -> DataFrame:
@@ -170,9 +149,9 @@ def repeats(rows: DataFrame, anchored, often, ambiguous, firsts, size: int, run:
                 w = words(data, at)
                 start, n, p, m, _ = _phrases(w, anchored.value, size, run)
                 of = np.searchsorted(w.first, start, side="right") - 1
-                again = _in_bitmap(often.value, p)
-                wide = _in_bitmap(ambiguous.value, m)
-                wide[wide & again] = _in_bitmap(firsts.value, _place_hash(p, ids[lo + of], start - w.first[of])[wide & again])
+                again = in_bitmap(often.value, p)
+                wide = in_bitmap(ambiguous.value, m)
+                wide[wide & again] = in_bitmap(firsts.value, _place_hash(p, ids[lo + of], start - w.first[of])[wide & again])
                 some = n[wide]
                 flat = np.arange(some.sum()) + np.repeat(start[wide] - np.cumsum(some) + some, some)
                 name = np.concatenate([p[again], _run_hashes(w, flat, np.full(len(flat), size))])
@@ -196,8 +175,8 @@ def confirmed(rows: DataFrame, anchored, size: int, run: int) -> DataFrame:
     found = materialize(phrases(rows, anchored, size, run), "phrases")
     often = found.where("times > 1")
     half = F.shiftrightunsigned("p", 32).alias("m")
-    places = materialize(repeats(rows, anchored, share(_bitmap(often.select(half, F.lit(2).alias("n")))),
-                                 share(_bitmap(found.select("m", F.col("more").alias("n")))), share(_first_places(often)), size, run), "places")
+    places = materialize(repeats(rows, anchored, share(bitmap(often.select(half, F.lit(2).alias("n")))),
+                                 share(bitmap(found.select("m", F.col("more").alias("n")))), share(_first_places(often)), size, run), "places")
     first = (places.groupBy("p").agg(F.min(F.struct("id", "start")).alias("f"), F.sum("times").alias("times"))
              .where("times > 1").select("p", "f"))
     return places.join(first, "p").select("shard", "p", "id", "start", "len", F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start"))
