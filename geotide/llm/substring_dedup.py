@@ -124,16 +124,17 @@ def phrases(rows: DataFrame, anchored, size: int, run: int) -> DataFrame:
             .select("p", "m", "f.id", "f.start", "times", "more"))
 
 
-def _first_places(often: DataFrame) -> np.ndarray:
-    """Bitmap of the first places of recurring phrases."""
+def _first_places(found: DataFrame, often) -> np.ndarray:
+    """Bitmap of the first places of the phrases that the bitmap of recurring ones keeps, false positives included."""
 
     def emit(batches):
         for batch in batches:
             p, ids, start = (batch.column(k).to_numpy() for k in range(3))
-            h = _place_hash(p.view(_U), ids, start)
+            again = in_bitmap(often.value, p.view(_U))
+            h = _place_hash(p.view(_U), ids, start)[again]
             yield pa.RecordBatch.from_arrays([upper_half(h), pa.array(np.full(len(h), 2))], names=["m", "n"])
 
-    return bitmap(often.select("p", "id", "start").mapInArrow(emit, "m long, n long"))
+    return bitmap(found.select("p", "id", "start").mapInArrow(emit, "m long, n long"))
 
 
 def repeats(rows: DataFrame, anchored, often, ambiguous, firsts, size: int, run: int) -> DataFrame:
@@ -175,8 +176,9 @@ def confirmed(rows: DataFrame, anchored, size: int, run: int) -> DataFrame:
     found = materialize(phrases(rows, anchored, size, run), "phrases")
     often = found.where("times > 1")
     half = F.shiftrightunsigned("p", 32).alias("m")
-    places = materialize(repeats(rows, anchored, share(bitmap(often.select(half, F.lit(2).alias("n")))),
-                                 share(bitmap(found.select("m", F.col("more").alias("n")))), share(_first_places(often)), size, run), "places")
+    again = share(bitmap(often.select(half, F.lit(2).alias("n"))))
+    places = materialize(repeats(rows, anchored, again, share(bitmap(found.select("m", F.col("more").alias("n")))),
+                                 share(_first_places(found, again)), size, run), "places")
     first = (places.groupBy("p").agg(F.min(F.struct("id", "start")).alias("f"), F.sum("times").alias("times"))
              .where("times > 1").select("p", "f"))
     return places.join(first, "p").select("shard", "p", "id", "start", "len", F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start"))
