@@ -13,6 +13,9 @@ from geotide.session import checkpoint_dir
 
 #: Documents whose language is less certain than this are rejected, and those without a letter.
 LEAST_CERTAIN = 0.5
+#: Words of a shingle and Jaccard similarity of near copies; op1 has values of its own.
+NEAR_SIZE = 5
+NEAR_THRESHOLD = (80, 100)
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the document that names its component stays."""
-    found = ngram_join.jaccard_components(docs)
+    found = ngram_join.jaccard_components(docs, size=NEAR_SIZE, threshold=NEAR_THRESHOLD)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     return kept.select(docs.columns)
