@@ -1,7 +1,7 @@
 """Quality rules by cross-document line frequency.
 
 Normalised lines are hashed, and per host (source) the distinct documents that hold a line are
-counted.  Lines above the limit are removed; a document is rejected when too little of it is left.
+counted.  Lines above a share of the host are removed; a document is rejected when too little of it is left.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from geotide.session import materialize
 
 _U = np.uint64
 
-#: A line is removed when more distinct documents of its host hold it than both of these say.
-MIN_DOCS = 20
-SHARE_OF_HOST = 0.005
+#: A line is removed when more than this share of its host's distinct documents hold it, whatever the size of the host.
+SHARE_OF_HOST = 0.05
+#: The share says nothing of a handful of documents: lines of so many or fewer stay.
+MIN_DOCS = 3
 #: A document is rejected when fewer words, or a smaller share of its words, are left.
 LEAST_WORDS = 10
 LEAST_SHARE = 0.2
@@ -99,9 +100,10 @@ def line_facts(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source"
 
 
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE_OF_HOST) -> DataFrame:
-    """(host, line): lines that more distinct documents of a host hold than the limits allow.
+    """(host, line): lines that a larger share of a host's distinct documents hold than allowed.
 
-    Documents with equal text are one document here, so copies alone make no line frequent.
+    Documents with equal text are one document here, so copies alone make no line frequent.  Beyond
+    ``min_docs / share`` documents the size of a host does not matter.
     """
     texts = rows.select("host", "h", "lines").dropDuplicates(["host", "h"])
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
