@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from geotide.llm.shared import packed, text_or_empty, unpacked
 from geotide.session import checkpoint_dir
 
-SPAN = "array<struct<start:int,`end`:int,kind:string>>"
+SPAN = "array<struct<start:int,`end`:int,kind:string,rule:string>>"
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ ALL_RULES = BASE_RULES + ADDED_RULES
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
-    """Leftmost non-overlapping matches of a rule as (start, end, kind), in code points, end exclusive.
+    """Leftmost non-overlapping matches of a rule as (start, end, kind, rule key), in code points, end exclusive.
 
     The matches and the pieces between them alternate, so running lengths give the positions.
     """
@@ -69,7 +69,7 @@ def spans_of(text: Column, rule: Rule) -> Column:
         begin = a["at"] + F.char_length(x["gap"])
         end = begin + F.coalesce(F.char_length(x["hit"]), F.lit(0))
         size = F.char_length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) if rule.group else end - begin
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))
         keep = x["hit"].isNotNull() & (size >= rule.least)
         return F.struct(end.alias("at"), F.when(keep, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
@@ -108,12 +108,16 @@ class BlobLedger:
 
     def findings(self, docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = ALL_RULES,
                  columns: list[str] | None = None) -> DataFrame:
-        """Every input row with ``spans``: the findings of its blob by ``rules``, by start, then kind as listed."""
+        """Every input row with ``spans``: the findings of its blob by ``rules`` in these versions, by start, then kind as listed."""
         columns = docs.columns if columns is None else columns
-        order = F.array(*[F.lit(r.kind) for r in rules])
-        wanted = F.filter("spans", lambda s: F.array_contains(order, s["kind"]))
+        order = F.array(*[F.lit(r.key) for r in rules])
+
+        def key(s):  # ledgers written before spans had a rule hold first versions only
+            return F.coalesce(s["rule"], F.concat(s["kind"], F.lit("@1")))
+
+        wanted = F.filter("spans", lambda s: F.array_contains(order, key(s)))
         by = F.array_sort(F.transform(wanted, lambda s: F.struct(
-            s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+            s["start"].alias("start"), F.array_position(order, key(s)).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
         per_blob = (self.table().groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
                     .select("blob", by.alias("spans")))
         rows = docs.select(packed(docs, columns).alias("r"), F.sha2(text_or_empty(text_col), 256).alias("blob"))
