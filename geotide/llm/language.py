@@ -42,11 +42,15 @@ def _folded() -> np.ndarray:
 
 
 def letters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points of a chunk with a space before each document, and the documents' offsets."""
+    """Folded code points of a chunk with spaces before each document, and the documents' offsets.
+
+    There are as many spaces as the longest n-gram that starts at a document's last letter reads.
+    """
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-    codes = np.insert(_folded()[points], lead[:-1], _SPACE)
-    return codes, lead + np.arange(len(at))
+    gap = max(LENGTHS) - 1
+    codes = np.insert(_folded()[points], np.repeat(lead[:-1], gap), _SPACE)
+    return codes, lead + gap * np.arange(len(at))
 
 
 def ngram_buckets(codes: np.ndarray, size: int) -> np.ndarray:
