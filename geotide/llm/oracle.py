@@ -90,10 +90,65 @@ SELECT doc_id, source, copy, n AS n_copies, substr(md5('{mixing.SEED}:' || doc_i
 FROM n, range(1, n + 1) r(copy)"""
 
 
+def _top_k() -> str:
+    return """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score
+      FROM v q, v d WHERE q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+#: Lower-cased terms of a text, as the lexical search cuts them.
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+def _lexical() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+tot AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY doc_id, term),
+it AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), tot),
+m AS (SELECT doc_id, 100 - 50 + (50 * len(t) * n_docs) // n_terms AS m FROM d, tot WHERE len(t) > 0),
+s AS (SELECT item_id, tf.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM it JOIN tf ON it.term = tf.term JOIN w ON w.term = tf.term JOIN m ON m.doc_id = tf.doc_id GROUP BY item_id, tf.doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+
+def _collocations() -> str:
+    """Counts of all phrases, then the definition; 128-bit products."""
+    return r"""
+WITH piece AS (SELECT row_number() OVER () AS p, lang, w FROM (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[.,;:!?\x0A-\x0D]')) AS x FROM documents))),
+g AS (SELECT lang, w[s:s + k - 1] AS g, count(*) AS f FROM piece, range(1, 6) a(k), range(1, len(w) - k + 2) b(s) GROUP BY lang, w[s:s + k - 1]),
+tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+o AS (SELECT lang, g, f FROM g WHERE f >= 100),
+cut AS (SELECT o.lang, o.g, o.f AS a, k, x.f AS l, y.f AS r, n,
+               (1000::HUGEINT * o.f * n) // (x.f::HUGEINT * y.f) AS score
+        FROM o JOIN tot ON o.lang = tot.lang, range(1, len(o.g)) c(k)
+        JOIN o x ON x.lang = o.lang AND x.g = o.g[1:k] JOIN o y ON y.lang = o.lang AND y.g = o.g[k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_of AS (SELECT DISTINCT lang, g[1:len(g) - 1] AS g, f FROM o WHERE len(g) > 2 UNION SELECT DISTINCT lang, g[2:] AS g, f FROM o WHERE len(g) > 2),
+kept AS (SELECT * FROM best ANTI JOIN inner_of ON best.lang = inner_of.lang AND best.g = inner_of.g AND best.a = inner_of.f),
+r AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM r) WHERE rank <= 2000"""
+
+
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": _substring(),
     "op3_secret_scan": _secrets(),
     "op4_exact_dedup": _exact_dedup(),
     "op6_license_scan": _licenses(),
     "op8_source_mixing": _mixing(),
+    "op11_exact_topk": _top_k(),
+    "op12_lexical_search": _lexical(),
+    "op13_collocations": _collocations(),
 }

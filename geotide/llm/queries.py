@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotide.llm import exact_dedup as dedup
-from geotide.llm import language, licenses, mixing, ngram_join, packing, quality, secrets, substring_dedup, token_rollups
+from geotide.llm import (collocations, language, lexical, licenses, maxscore, mixing, ngram_join, packing, quality, secrets,
+                         substring_dedup, token_rollups)
 from geotide.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -58,6 +59,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -65,4 +78,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_secret_scan, op4_exact_dedup, op5_token_counts,
-                            op6_license_scan, op7_packing, op8_source_mixing, op9_language_id, op10_quality_rules, pipeline)}
+                            op6_license_scan, op7_packing, op8_source_mixing, op9_language_id, op10_quality_rules, op11_exact_topk,
+                            op12_lexical_search, op13_collocations, pipeline)}
