@@ -294,9 +294,9 @@ def reroute_reasons(choice: DataFrame, positions: DataFrame, candidates: DataFra
     ``positions``: client_id, lat, lon.  ``streaks``: client_id, streak (consecutive
     off-path ticks including this one); without it a single tick counts as 1.
     """
-    c = choice.select("client_id", F.lower(F.coalesce("segment_type", F.lit(""))).alias("seg"),
-                      F.col("stop_id").alias("choice_stop_id"), "path")
+    c = choice.select("client_id", F.lower("segment_type").alias("seg"), F.col("stop_id").alias("choice_stop_id"), "path")
     j = positions.select("client_id", "lat", "lon").join(c, "client_id", "left")
+    j = j.withColumn("seg", F.coalesce("seg", F.lit("")))  # also for clients without a choice
     dist = point_to_path_m(F.col("lat"), F.col("lon"), F.col("path"))
     thr = F.when(F.col("seg") == "multimodal", F.lit(DEVIATION_METERS_MAPF)).otherwise(F.lit(DEVIATION_METERS_DIRECT))
     j = j.withColumn("deviation_m", dist)

@@ -52,9 +52,12 @@ def client_last_seen(geodata: DataFrame) -> DataFrame:
 
 def active_clients_geodata(geodata: DataFrame, as_of) -> DataFrame:
     """Clients with a point in the last 26 h or an update in the last 2 s."""
-    g = client_last_seen(geodata)
-    return g.where((F.col("last_ts") >= _ago(as_of, ACTIVE_TS_WINDOW))
-                   | (F.col("last_seen") >= _ago(as_of, ACTIVE_SEEN_WINDOW))).select("client_id")
+    return still_active(client_last_seen(geodata), as_of).select("client_id")
+
+
+def still_active(last: DataFrame, as_of) -> DataFrame:
+    """Rows of a last-seen table whose client counts as active."""
+    return last.where((F.col("last_ts") >= _ago(as_of, ACTIVE_TS_WINDOW)) | (F.col("last_seen") >= _ago(as_of, ACTIVE_SEEN_WINDOW)))
 
 
 def current_session_id_from_geodata(geodata: DataFrame) -> DataFrame:

@@ -21,6 +21,11 @@ EPOCH = "1970-01-01 00:00:00"
 
 # Allowed enumerations (table CHECK constraints) and the retention TTL.
 ASTAR_TARGET_TYPES = ("poi", "stop_point")
+ASTAR_CONTEXTS = ("initial_prediction", "routed_to_poi", "routed_to_departure", "deviation_detected", "fallback_astar",
+                  "fallback_stop_point", "rerouted_mapf")
+MAPF_CONTEXTS = ("initial_prediction", "routed_to_poi", "routed_to_departure", "deviation_detected", "fallback_astar",
+                 "rerouted_mapf", "mapf_predicted")
+PREDICTION_TYPES = ("weekly", "daily")
 SEGMENT_TYPES = ("direct", "multimodal", "fallback", "behavioral_path", "unknown")
 RETENTION_DAYS = 28
 

@@ -649,40 +649,178 @@ def _stream_folder(t, tag):
     return f"{checkpoint_dir(t.spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
 
 
+def _files(df, path: str, n: int, fmt: str = "parquet"):
+    """Rows as ``n`` files, so that a stream over them takes several micro-batches."""
+    df.repartition(n).write.format(fmt).mode("overwrite").save(path)
+
+
 def _ingested(t, which: str):
     from geotide.streaming import pipelines as sp
     base = _stream_folder(t, "ingest")
-    _messages(t).write.mode("overwrite").json(f"{base}/in")
-    sp.stream_ingest(sp.read_telemetry_stream(t.spark, f"{base}/in"), f"{base}/out", f"{base}/ckpt")
-    return t.spark.read.parquet(f"{base}/out/{which}")
+    _files(_messages(t), f"{base}/in", 8, "json")
+    return sp.stream_ingest(sp.read_telemetry_stream(t.spark, f"{base}/in", 4), f"{base}/out", f"{base}/ckpt")[which].rows()
 
 
 @query("stream_ingest_sessions")
 def q_stream_ingest_sessions(t):
-    """Sessions from a file stream of telemetry messages (availableNow) == batch A1."""
+    """Sessions from a file stream of telemetry messages, in several micro-batches == batch A1."""
     return _ingested(t, "sessions").select("client_id", "start_time", "end_time")
 
 
 @query("stream_ingest_points")
 def q_stream_ingest_points(t):
-    """Points from a file stream of telemetry messages (availableNow) == batch A2."""
+    """Points from a file stream of telemetry messages, in several micro-batches == batch A2."""
     return _ingested(t, "points").select("client_id", "lat", "lon", "elevation", "speed", "activity", "timestamp")
 
 
 @query("stream_migrate_trajectories")
 def q_stream_migrate(t):
-    """Closed sessions migrated to trajectories as their points arrive."""
+    """Two triggers on one checkpoint, half a month apart; the second finds no new points and closes by the timer."""
+    import datetime as dt
+
     from geotide.streaming import pipelines as sp
     base = _stream_folder(t, "migrate")
-    pts = _session_points(t).select("client_id", "session_id", "lat", "lon", "elevation", "speed", "activity",
-                                    "timestamp", "start_time", "end_time")
-    pts.write.mode("overwrite").parquet(f"{base}/in")
+    pts = _session_points(t).select(*sp.MIGRATED_POINT)
+    _files(pts, f"{base}/in", 4)
     src = t.spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    sp.stream_migrate(src, f"{base}/out", f"{base}/ckpt", AS_OF)
+    for as_of in (AS_OF - dt.timedelta(days=15), AS_OF):
+        sp.stream_migrate(src, f"{base}/out", f"{base}/ckpt", as_of)
     out = sp.migrated(t.spark, f"{base}/out")
     return out.withColumn("n_points", F.size("trajectory")).drop("trajectory")
 
 
+@query("live_active_clients")
+def q_live_active_clients(t):
+    """P3 from a last-seen table that a stream of points keeps."""
+    from geotide.streaming import pipelines as sp
+    base = _stream_folder(t, "live")
+    pts = t.geodata.select("client_id", "timestamp", "updated_at")
+    _files(pts, f"{base}/in", 6)
+    src = t.spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    sp.stream_last_seen(src, f"{base}/out", f"{base}/ckpt", AS_OF)
+    return sp.live_active_clients(t.spark, f"{base}/out", AS_OF)
+
+
+@query("publish_once")
+def q_publish_once(t):
+    """T5: results that arrive twice are published once; the second half of the files repeats the first."""
+    from geotide.streaming import pipelines as sp
+    base = _stream_folder(t, "publish")
+    cols = ["client_id", "session_id", "created_at"]
+    res = t.optimized_routes.where("is_valid").select(*cols).unionByName(t.reroutes.select(*cols))
+    _files(res.unionByName(res), f"{base}/in", 4)
+    src = t.spark.readStream.schema(res.schema).parquet(f"{base}/in")
+    sp.publish_once(src, f"{base}/out", f"{base}/ckpt")
+    return t.spark.read.schema(res.schema).parquet(f"{base}/out")
+
+
+def _fed(t, which: str):
+    from geotide.streaming import pipelines as sp
+    base = _stream_folder(t, "feeds")
+    feeds = _rtf.vehicle_feeds(t.vehicle_arrivals, AS_OF).unionByName(_rtf.trip_update_feeds(t.trip_updates, AS_OF)) \
+        .unionByName(_rtf.alert_feeds(t.alerts, AS_OF))
+    _files(feeds.select("feed_json", F.col("read_at").cast("string").alias("read_at")), f"{base}/in", 6, "json")
+    return sp.rt_feed_ingest(sp.read_feed_stream(t.spark, f"{base}/in", 2), f"{base}/out", f"{base}/ckpt")[which]
+
+
+@query("rt_vehicle_positions")
+def q_rt_vehicle_positions(t):
+    """A3 through T6: one stream of mixed feeds into three tables."""
+    return _fed(t, "vehicle_positions")
+
+
+@query("rt_feed_trip_updates")
+def q_rt_feed_trip_updates(t):
+    """A4 through T6."""
+    return _fed(t, "trip_updates")
+
+
+@query("rt_service_alerts")
+def q_rt_service_alerts(t):
+    """A5 (+F4) through T6."""
+    return _fed(t, "service_alerts")
+
+
+# -------------------------------------------------------- stored tables -----
+
+from geotide.operators import stored as _st  # noqa: E402
+
+
+@query("sessions_by_gap")
+def q_sessions_by_gap(t):
+    """Windows of clients whose messages name none: a gap of six hours ends a session."""
+    return _tel.sessions_by_gap(t.geodata, "6 hours")
+
+
+@query("session_get_or_create")
+def q_session_get_or_create(t):
+    """K4: points and sessions meet by an id that either side computes for itself; the id itself is not shown."""
+    ids = _wr.session_ids(t.mqtt_sessions.drop("session_id")).select("session_id", "client_id", "start_time", "end_time")
+    pts = _wr.session_ids(_session_points(t).select("client_id", "start_time", "timestamp"))
+    n = pts.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_points"))
+    return ids.join(n, "session_id").select("client_id", "start_time", "end_time", "n_points")
+
+
+def _day_table(t, tag: str, frames, key, time: str):
+    table = _st.DayTable(t.spark, _stream_folder(t, tag), frames[0].schema, key, time)
+    for df in frames:
+        table.insert(df)
+    return table
+
+
+@query("insert_ignore_points")
+def q_insert_ignore_points(t):
+    """K1: clicks and views are stored first; inserting all points then, twice, adds the others and changes none."""
+    g = t.geodata.select("client_id", "timestamp", "lat", "lon", "activity")
+    again = g.withColumn("lat", F.col("lat") + 1.0)
+    return _day_table(t, "insert", [g.where(F.col("activity").isin("click", "view")), again, again], ["client_id", "timestamp"],
+                      "timestamp").rows()
+
+
+@query("delete_migrated_points")
+def q_delete_migrated_points(t):
+    """K5: stored points that are in a session window are deleted by key."""
+    key = ["client_id", "timestamp", "session_id"]
+    table = _day_table(t, "delete", [t.geodata.select(*key, "lat", "lon")], key, "timestamp")
+    table.delete(_session_points(t).select(*key))
+    return table.rows()
+
+
+@query("retention_days")
+def q_retention_days(t):
+    """K6: stored points per day after 10 days' retention, with the number of rows that expired."""
+    table = _day_table(t, "retain", [t.geodata.select("client_id", "timestamp", "lat")], ["client_id", "timestamp"], "timestamp")
+    expired = table.expire(AS_OF, 10)
+    return table.rows().groupBy(F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("kept")) \
+        .withColumn("expired", F.lit(expired).cast("long"))
+
+
+@query("append_validated")
+def q_append_validated(t):
+    """K8: six kinds of rows appended as one batch, delivered twice; accepted and rejected rows with the reason."""
+    bad = lambda c, m, v=None: F.when(F.col("id") % m == 0, F.lit(v)).otherwise(F.col(c)).alias(c)
+    p = t.predicted_pois_sequence
+    new = {
+        "astar_routes": t.astar_routes.withColumns({"decision_context": bad("decision_context", 17, "guessed"), "distance": bad("distance", 13)}),
+        "mapf_routes": t.mapf_routes.withColumns({"decision_context": bad("decision_context", 7, "guessed")}),
+        "reroutes": t.reroutes.withColumns({"client_id": bad("client_id", 11)}),
+        "weekly_schedule": p.select("id", "client_id", F.date_format("predicted_visit_time", "EEEE").alias("visit_day"),
+                                    F.col("predicted_visit_time").alias("predicted_time"), bad("prediction_type", 5, "monthly")),
+        "pois": t.pois.withColumnRenamed("poi_id", "id").withColumns({"poi_rank": bad("poi_rank", 9), "lat": bad("lat", 6)}),
+        "user_patterns": t.user_patterns.withColumnRenamed("pattern_id", "id").withColumns({"lon": bad("lon", 8)}),
+    }
+    log = _st.BatchLog(t.spark, _stream_folder(t, "append"))
+    for _ in range(2):
+        _st.append_validated(log, "first", new)
+    out = None
+    for name, df in new.items():
+        kept = log.read(name, df.schema).select(F.lit(name).alias("target"), "id", "client_id", F.lit(None).cast("string").alias("reject_reason"))
+        schema = df.withColumn("reject_reason", F.lit("")).schema
+        gone = log.read(f"{name}_rejects", schema).select(F.lit(name).alias("target"), "id", "client_id", "reject_reason")
+        out = kept.unionByName(gone) if out is None else out.unionByName(kept).unionByName(gone)
+    return out
+
+
 # ------------------------------------------------------------- features -----
 
 from geotide.operators import features as _ft  # noqa: E402

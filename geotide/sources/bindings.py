@@ -33,7 +33,12 @@ def _client() -> Column:
 
 
 def _stop() -> Column:
-    return (F.col("user_id") % 10 + 1).cast("string")
+    """Eight users share a stop, so stops grow with the users and the rows of one stop do not."""
+    return F.expr("user_id div 8").cast("string")
+
+
+def _route() -> Column:
+    return F.expr("event_id div 5").cast("string")
 
 
 def _dest_lat() -> Column:
@@ -133,7 +138,7 @@ class MobilityTables:
     def gtfs_trips(self) -> DataFrame:
         return self._transit_events().select(
             F.col("event_id").cast("string").alias("trip_id"),
-            (F.col("event_id") % 40 + 1).cast("string").alias("route_id"),
+            _route().alias("route_id"),
             F.dayofmonth("ts").cast("string").alias("service_id"),
             F.col("event_type").alias("trip_headsign"),
             (F.col("event_id") % 2).alias("direction_id"),
@@ -145,7 +150,7 @@ class MobilityTables:
         first = e.select(F.col("event_id").cast("string").alias("trip_id"),
                          _stop().alias("stop_id"), F.lit(1).alias("stop_sequence"))
         second = e.select(F.col("event_id").cast("string").alias("trip_id"),
-                          ((F.col("user_id") + 1) % 10 + 1).cast("string").alias("stop_id"),
+                          F.expr("(user_id + 8) div 8").cast("string").alias("stop_id"),
                           F.lit(2).alias("stop_sequence"))
         return first.unionByName(second).select(
             "trip_id", _null("string").alias("arrival_time"), _null("string").alias("departure_time"),
@@ -169,12 +174,27 @@ class MobilityTables:
         return self.raw("events").where(F.col("event_type") == "purchase").select(
             _client().alias("vehicle_id"),
             F.col("event_id").cast("string").alias("trip_id"),
-            (F.col("event_id") % 40 + 1).cast("string").alias("route_id"),
+            _route().alias("route_id"),
             _stop().alias("stop_id"),
             (_lit_d(59.3) + (F.col("event_id") % 5) * _lit_d(5e-4)).alias("position_lat"),
             (_lit_d(18.0) + (F.col("event_id") % 3) * _lit_d(5e-4)).alias("position_lon"),
             F.col("ts").alias("timestamp"))
 
+    @cached_property
+    def alerts(self) -> DataFrame:
+        """What a feed says of a disturbance: of route, stop or neither, some without texts or an end."""
+        m = F.col("event_id") % 3
+        return self.raw("events").where(F.col("event_type") == "error").select(
+            F.col("event_id").cast("string").alias("alert_key"),
+            F.when(m == 0, _null("string")).otherwise(F.lit("CONSTRUCTION")).alias("cause"),
+            F.when(m == 1, _null("string")).otherwise(F.lit("DETOUR")).alias("effect"),
+            F.concat(F.lit("Disturbance "), F.col("event_id").cast("string")).alias("header_text"),
+            F.when(m == 2, _null("string")).otherwise(F.concat(F.lit("near stop "), _stop())).alias("description_text"),
+            F.when(m == 0, _route()).when(m == 1, F.lit("")).alias("route_id"),
+            F.when(m != 2, _stop()).alias("stop_id"),
+            F.col("ts").alias("start_time"),
+            F.when(m != 0, F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("end_time"))
+
     # -- routes ----------------------------------------------------------------
     @cached_property
     def astar_routes(self) -> DataFrame:
@@ -182,7 +202,8 @@ class MobilityTables:
         return e.select(
             F.col("event_id").alias("id"),
             _client().alias("client_id"),
-            _stop().alias("stop_id"),
+            # one in fifty heads for a stop that the timetable does not know
+            F.when(F.col("event_id") % 50 == 7, F.concat(F.lit("temporary "), _stop())).otherwise(_stop()).alias("stop_id"),
             _null("string").alias("parent_station"),
             F.when(F.col("event_id") % 2 == 0, F.lit("stop_point")).otherwise(F.lit("poi")).alias("target_type"),
             _null("long").alias("poi_id"),
@@ -230,7 +251,7 @@ class MobilityTables:
 
     @cached_property
     def reroutes(self) -> DataFrame:
-        e = self.raw("events").where((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0))
+        e = self.raw("events").where(F.col("event_type") == "error")
         return e.select(
             F.col("event_id").alias("id"),
             (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"),
@@ -276,7 +297,7 @@ class MobilityTables:
 
     @cached_property
     def user_patterns(self) -> DataFrame:
-        e = self.raw("events").where((F.col("event_type") == "click") & (F.col("event_id") % 4 == 0))
+        e = self.raw("events").where(F.col("event_type") == "click")
         return e.select(
             F.col("event_id").alias("pattern_id"),
             _client().alias("client_id"),
@@ -286,28 +307,18 @@ class MobilityTables:
 
     @cached_property
     def hotspots(self) -> DataFrame:
-        e = self.raw("events").where((F.col("event_type") == "purchase") & (F.col("event_id") % 20 == 0))
-        return e.select(
-            F.col("event_id").alias("hotspot_id"),
-            _client().alias("client_id"),
-            (_lit_d(59.3) + (F.col("user_id") % 10) * _lit_d(1e-2)).alias("lat"),
-            (_lit_d(18.0) + (F.col("user_id") % 7) * _lit_d(1e-2)).alias("lon"),
-            F.col("value").alias("radius"),
-            F.col("value").alias("density"),
-            F.lit("hotspot").alias("type"),
-            _null("double").alias("time_spent"),
-            F.lit("trajectory").alias("source_type"),
-            F.col("ts").alias("created_at"),
-            F.col("ts").alias("updated_at"))
+        e = self.raw("events").where(F.col("event_type") == "purchase")
+        key = [_client().alias("client_id"), _dest_lat().alias("lat"), _dest_lon().alias("lon")]
+        g = e.groupBy(*key).agg(F.min("event_id").alias("hotspot_id"), F.max("value").alias("radius"), F.count(F.lit(1)).cast("double").alias("density"),
+                                F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
+        return g.select("hotspot_id", "client_id", "lat", "lon", "radius", "density", F.lit("hotspot").alias("type"),
+                        _null("double").alias("time_spent"), F.lit("trajectory").alias("source_type"), "created_at", "updated_at")
 
     @cached_property
     def client_switch_profiles(self) -> DataFrame:
-        c = self.raw("customer")
-        g = c.groupBy((F.col("c_custkey") % 150).alias("k")).agg(
-            F.min(F.floor(F.abs("c_acctbal")).cast("int") % 240).alias("avg_switch_seconds"))
-        return g.select(F.col("k").cast("string").alias("client_id"),
-                        (F.col("k") % 10 + 1).cast("string").alias("stop_id"),
-                        "avg_switch_seconds")
+        return self.raw("customer").select(
+            F.col("c_custkey").cast("string").alias("client_id"), F.expr("c_custkey div 8").cast("string").alias("stop_id"),
+            (F.floor(F.abs("c_acctbal")).cast("int") % 240).alias("avg_switch_seconds"))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> MobilityTables:

@@ -122,3 +122,32 @@ def trip_update_feeds(trip_updates: DataFrame, read_at) -> DataFrame:
     feed = F.struct(F.struct(unix(ts_literal(read_at)).alias("timestamp")).alias("header"),
                     F.array(ent).alias("entity"))
     return trip_updates.select(F.to_json(feed).alias("feed_json"), ts_literal(read_at).alias("read_at"))
+
+
+def _unix_text(c: Column) -> Column:
+    """Seconds since 1970 as text, as the JSON mapping writes 64-bit integers."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("string")
+
+
+def _feed(entity: Column, read_at) -> list[Column]:
+    feed = F.struct(F.struct(_unix_text(ts_literal(read_at)).alias("timestamp")).alias("header"), F.array(entity).alias("entity"))
+    return [F.to_json(feed).alias("feed_json"), ts_literal(read_at).alias("read_at")]
+
+
+def vehicle_feeds(vehicles: DataFrame, read_at) -> DataFrame:
+    """Encode vehicle rows as single-entity decoded feeds in the camel-case spelling."""
+    place = F.struct(F.col("position_lat").alias("latitude"), F.col("position_lon").alias("longitude"))
+    v = F.struct(F.struct(F.col("vehicle_id").alias("id")).alias("vehicle"),
+                 F.struct(F.col("trip_id").alias("tripId"), F.col("route_id").alias("routeId")).alias("trip"),
+                 F.col("stop_id").alias("stopId"), _unix_text(F.col("timestamp")).alias("timestamp"), place.alias("position"))
+    return vehicles.select(*_feed(F.struct(F.col("trip_id").alias("id"), v.alias("vehicle")), read_at))
+
+
+def alert_feeds(alerts: DataFrame, read_at) -> DataFrame:
+    """Encode alerts (cause, effect, header_text, description_text, route_id, stop_id, start_time, end_time)
+    as single-entity decoded feeds; null texts and bounds are left out."""
+    text = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.array(F.struct(F.col(c).alias("text"))).alias("translation")))
+    a = F.struct("cause", "effect", text("header_text").alias("headerText"), text("description_text").alias("descriptionText"),
+                 F.array(F.struct(F.col("route_id").alias("routeId"), F.col("stop_id").alias("stopId"))).alias("informedEntity"),
+                 F.array(F.struct(_unix_text(F.col("start_time")).alias("start"), _unix_text(F.col("end_time")).alias("end"))).alias("activePeriod"))
+    return alerts.select(*_feed(F.struct(F.col("alert_key").alias("id"), a.alias("alert")), read_at))

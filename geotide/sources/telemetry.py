@@ -41,22 +41,27 @@ def session_key(client, start) -> F.Column:
     return F.xxhash64(client, start)
 
 
-def telemetry_parse(messages: DataFrame) -> DataFrame:
+def telemetry_parse(messages: DataFrame, default_length: str | None = None) -> DataFrame:
     """A1: one row per valid message: client_id, session_id, start_time, end_time, trajectory.
 
-    Messages with fewer than three topic parts or without both window bounds
-    are dropped.
+    Messages with fewer than three topic parts or without both window bounds are dropped.  With
+    ``default_length`` (such as '26 hours', T2) a missing end is the start plus that length.
     """
     parts = F.split(F.col("topic"), "/")
     p = messages.select(parts.alias("__parts"), F.from_json(F.col("payload"), PAYLOAD_SCHEMA).alias("__p"),
                         *[c for c in messages.columns if c not in ("topic", "payload")])
     p = p.where((F.size("__parts") >= 3)
-                & F.coalesce(F.length(F.col("__p.start_time")) > 0, F.lit(False))
-                & F.coalesce(F.length(F.col("__p.end_time")) > 0, F.lit(False)))
+                & F.coalesce(F.length(F.col("__p.start_time")) > 0, F.lit(False)))
     client = F.col("__parts").getItem(1)
     start = lenient_ts(F.col("__p.start_time"))
+    end = lenient_ts(F.col("__p.end_time"))
+    named = F.coalesce(F.length(F.col("__p.end_time")) > 0, F.lit(False))
+    if default_length is None:
+        p = p.where(named)
+    else:
+        end = F.when(named, end).otherwise(start + F.expr(f"INTERVAL {default_length}"))
     return p.select(client.alias("client_id"), session_key(client, start).alias("session_id"),
-                    start.alias("start_time"), lenient_ts(F.col("__p.end_time")).alias("end_time"),
+                    start.alias("start_time"), end.alias("end_time"),
                     F.col("__p.trajectory").alias("trajectory"),
                     *[c for c in p.columns if not c.startswith("__")])
 
@@ -66,6 +71,16 @@ def telemetry_sessions(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("session_id", "client_id", "start_time").agg(F.min("end_time").alias("end_time"))
 
 
+def sessions_by_gap(points: DataFrame, gap: str) -> DataFrame:
+    """Sessions of points without a named window: (client_id, start_time, end_time, n_points).
+
+    A session goes on while the next point comes within ``gap``; its end is the last point plus the gap.
+    """
+    w = F.session_window(F.col("timestamp"), gap)
+    g = points.where(F.col("timestamp").isNotNull()).groupBy("client_id", w).agg(F.count(F.lit(1)).alias("n_points"))
+    return g.select("client_id", F.col("session_window.start").alias("start_time"), F.col("session_window.end").alias("end_time"), "n_points")
+
+
 def telemetry_points(parsed: DataFrame, updated_at=None) -> DataFrame:
     """A2: one geodata row per point with lat, lon and a non-empty timestamp (not the text 'null')."""
     e = parsed.select("session_id", "client_id", F.explode("trajectory").alias("p"),

@@ -12,6 +12,3 @@ def spark():
     s = build_session("local[4]", 8)
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"
