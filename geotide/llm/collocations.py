@@ -30,7 +30,7 @@ SAMPLE = 1 / 8
 SLACK = 2.0
 #: Longest phrase, smallest and largest bits of a bitmap as powers of two, bits for each phrase.
 WORDS = 5
-LEAST_BITS, MOST_BITS = 16, 28
+LEAST_BITS, MOST_BITS = 16, 27
 BITS_EACH = 16
 #: Distinct phrases that a task sums up before it hands them on.
 PENDING = 1 << 20
@@ -202,11 +202,16 @@ def _counts(sizes: tuple[int, ...], built_on, before):
     return run
 
 
-def _texts(wanted):
-    """One (h, lang, phrase) of each phrase of a task whose hash may be wanted."""
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in a sorted array?"""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def _texts(wanted, exact):
+    """One (h, lang, phrase) of each phrase of a task whose hash is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Bitmap = wanted.value
+        known, hashes = wanted.value, exact.value
         seen = np.zeros(0, _U)
         for batch in batches:
             langs, salts = batch.column(0).to_pylist(), batch.column(1).to_numpy().view(_U)
@@ -220,8 +225,9 @@ def _texts(wanted):
                     h = own[fit]
                     pick = known.own(h)
                     pick[pick] = known.has(h[pick])
+                    pick[pick] = _among(h[pick], hashes)
                     h, first = np.unique(h[pick], return_index=True)
-                    new = seen[np.minimum(np.searchsorted(seen, h), max(len(seen) - 1, 0))] != h if len(seen) else np.ones(len(h), bool)
+                    new = ~_among(h, seen)
                     h, first = h[new], fit[pick][first[new]]
                     raw = p.data.tobytes() if len(first) else b""
                     for i in first:
@@ -245,7 +251,7 @@ class Miner:
         self.docs, self.least, self.most_bits = docs, least, most_bits
         self.spark = docs.sparkSession
 
-    def share(self, bitmaps: list[Bitmap]) -> list:
+    def share(self, bitmaps: list) -> list:
         return [self.spark.sparkContext.broadcast(b) for b in bitmaps]
 
     def bitmaps(self, found: DataFrame, n: int) -> list[Bitmap]:
@@ -300,8 +306,10 @@ class Miner:
         def texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             maps = self.bitmaps(wanted, wanted.count())
             rows = None
-            for m in self.share(maps):
-                part = docs.mapInArrow(_texts(m), "h long, lang string, phrase string")
+            for m in maps:
+                own = wanted if m.cuts == 1 else wanted.where(F.pmod(F.shiftrightunsigned("h", 40), F.lit(m.cuts)) == m.cut)
+                hashes = np.sort(own.select("h").toArrow()["h"].to_numpy().view(_U))  # of one cut: 2**most_bits / BITS_EACH at most
+                part = docs.mapInArrow(_texts(*self.share([m, hashes])), "h long, lang string, phrase string")
                 rows = part if rows is None else rows.unionByName(part)
             return rows.groupBy("h").agg(F.min(F.struct("lang", "phrase")).alias("t"))
 
