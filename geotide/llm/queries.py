@@ -34,7 +34,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rollups.corpus_rollup(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return token_rollups.corpus_rollup(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), newer="byte_bpe_multi_50k")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,16 @@ from geotide.session import materialize
 FILTER_BITS = 24
 
 
+#: Bits of a filter for each row that it holds, and the most bits of one (32 MB): what is broadcast stays bounded.
+BITS_EACH = 8
+MOST_BITS = 28
+
+
+def sized_bits(n: int, each: int = BITS_EACH, least: int = 16, most: int = MOST_BITS) -> int:
+    """Bits, as a power of two, of a filter for ``n`` rows: ``each`` bits a row until the bound is reached."""
+    return min(most, max(least, (max(n, 1) * each - 1).bit_length()))
+
+
 def text_or_empty(column: str | Column) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

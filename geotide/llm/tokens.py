@@ -13,12 +13,18 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: A text that holds this string is encoded by the vocabulary file itself, which has an id of its own for it.
 SPECIAL = "<|endoftext|>"
 
+#: Vocabulary file and ranks of tokenizer versions; other names are labels of the first.
+VERSIONS = {"byte_bpe_50k": (VOCABULARY, RANKS), "byte_bpe_multi_50k": (None, "byte_bpe_multi_50k.tiktoken")}
 
 
+def encoder_of(version: str):
+    """The encoder of a tokenizer version."""
+    return encoder(*VERSIONS.get(version, (VOCABULARY, RANKS)))
+
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str = VOCABULARY, ranks: str = RANKS):
-    """A function from text to uint32 ids, made once per Python worker."""
+def encoder(vocabulary: str | None = VOCABULARY, ranks: str = RANKS):
+    """A function from text to uint32 ids, made once per Python worker.  Without a vocabulary file no string is special."""
     import public_tokenizers
     import tiktoken
 
@@ -28,7 +34,7 @@ def encoder(vocabulary: str = VOCABULARY, ranks: str = RANKS):
     slow = []
 
     def encode(text: str) -> np.ndarray:
-        if SPECIAL in text:
+        if vocabulary and SPECIAL in text:
             if not slow:
                 from tokenizers import Tokenizer
                 slow.append(Tokenizer.from_file(public_tokenizers.path(vocabulary)))

@@ -117,3 +117,20 @@ def pieces(docs, encode, window=1024):
             p = ids[a:a + window]
             out[i, a, len(p), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in p)), len(ids)] += 1
     return out
+
+
+def near_kept(docs, size=5, num=80, den=100):
+    """Documents that name their component, from all pairs of shingle sets."""
+    sets = {}
+    for i, t in docs:
+        w = SPLIT.findall(lower(t or ""))
+        sets[i] = {tuple(w[k:k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    by = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            by[x].append(i)
+    edges = []
+    for i, s in sets.items():
+        common = Counter(j for x in s for j in by[x] if j > i)
+        edges += [(i, j) for j, c in common.items() if den * c >= num * (len(s) + len(sets[j]) - c)]
+    return {i for i, c in components(sets, edges).items() if i == c}

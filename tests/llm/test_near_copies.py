@@ -2,7 +2,6 @@ import importlib.util
 import os
 import random
 import sys
-from collections import Counter, defaultdict
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, os.path.dirname(os.path.dirname(HERE)))
@@ -15,21 +14,7 @@ import corpus_pipeline  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 
-def near_kept(docs, size=5, num=80, den=100):
-    """Documents that name their component, from all pairs of shingle sets."""
-    sets = {}
-    for i, t in docs:
-        w = brute.SPLIT.findall(brute.lower(t or ""))
-        sets[i] = {tuple(w[k:k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
-    by = defaultdict(list)
-    for i, s in sets.items():
-        for x in s:
-            by[x].append(i)
-    edges = []
-    for i, s in sets.items():
-        common = Counter(j for x in s for j in by[x] if j > i)
-        edges += [(i, j) for j, c in common.items() if den * c >= num * (len(s) + len(sets[j]) - c)]
-    return {i for i, c in brute.components(sets, edges).items() if i == c}
+near_kept = brute.near_kept
 
 
 def test_near_copies_of_five_words_go(spark):

@@ -366,7 +366,8 @@ def test_oracle_agreement(spark):
     import duckdb
     from geotide.llm.queries import ORACLE, QUERIES
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for name in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     for name, sql in ORACLE.items():
         got = QUERIES[name](spark, SF).toPandas()
         want = con.execute(sql).df()
