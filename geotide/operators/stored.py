@@ -26,6 +26,8 @@ from geotide.operators.writes import (ASTAR_TARGET_TYPES, PREDICTION_TYPES, RETE
                                       validate_rows)
 
 DAY, BUCKET, BATCH = "part_day", "part_bucket", "part_batch"
+#: Fixed value: how Spark names the folder of a null partition value.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -99,16 +101,14 @@ class DayTable:
         parts = [(r[0], r[1]) for r in hit.select(DAY, BUCKET).distinct().collect()]  # days x buckets at most
         if not parts:
             return
-        chosen = F.lit(False)
-        for day, bucket in parts:
-            chosen = chosen | (F.col(DAY).eqNullSafe(F.lit(day).cast("date")) & (F.col(BUCKET) == bucket))
-        left = self.raw().where(chosen)
+        place = F.concat_ws("/", F.coalesce(F.col(DAY).cast("string"), F.lit(NO_DAY)), F.col(BUCKET))
+        left = self.raw().where(place.isin([f"{day or NO_DAY}/{bucket}" for day, bucket in parts]))  # one flat list: partitions are pruned by it
         left = left.where(keep) if gone is None else left.join(gone, [F.col(c).eqNullSafe(F.col(f"gone_{c}")) for c in self.key], "left_anti")
         full = {(r[0], r[1]) for r in left.select(DAY, BUCKET).distinct().collect()}
         left.repartition(DAY, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy(DAY, BUCKET).parquet(self.path)
         for day, bucket in set(parts) - full:
-            remove(self.spark, f"{self.path}/{DAY}={day or '__HIVE_DEFAULT_PARTITION__'}/{BUCKET}={bucket}")
+            remove(self.spark, f"{self.path}/{DAY}={day or NO_DAY}/{BUCKET}={bucket}")
 
     def delete(self, keys: DataFrame) -> None:
         """K5: remove the rows with the listed keys; parts that hold none of them are not rewritten."""

@@ -791,7 +791,7 @@ def q_retention_days(t):
     """K6: stored points per day after 10 days' retention, with the number of rows that expired."""
     table = _day_table(t, "retain", [t.geodata.select("client_id", "timestamp", "lat")], ["client_id", "timestamp"], "timestamp")
     expired = table.expire(AS_OF, 10)
-    return table.rows().groupBy(F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("kept")) \
+    return table.rows().groupBy(F.to_date("timestamp").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("kept")) \
         .withColumn("expired", F.lit(expired).cast("long"))
 
 

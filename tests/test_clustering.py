@@ -59,3 +59,59 @@ def test_core_components_match_brute_force(spark):
     got = sorted(sorted(g) for g in groups.values())
     want, _ = _brute_dbscan(pts, 250.0, 4)
     assert got == want
+
+
+def _labels(points, eps, min_samples, dist):
+    """Plain DBSCAN: label (smallest core point of the cluster) of every distinct point, None for noise."""
+    weight = {}
+    for p in points:
+        weight[p] = weight.get(p, 0) + 1
+    pts = sorted(weight)
+    nb = {p: [q for q in pts if dist(p, q) <= eps] for p in pts}
+    core = {p for p in pts if sum(weight[q] for q in nb[p]) >= min_samples}
+    label = {}
+    for p in pts:  # in order, so a cluster is named by its smallest core point
+        if p in core and p not in label:
+            todo = [p]
+            while todo:
+                q = todo.pop()
+                if q not in label:
+                    label[q] = p
+                    todo += [x for x in nb[q] if x in core and x not in label]
+    for p in pts:
+        if p not in core:
+            label[p] = min((label[q] for q in nb[p] if q in core), default=None)
+    return label, core
+
+
+def test_cells_match_plain_dbscan(spark):
+    """Dense and sparse cells, chains across many cells, several clients, high latitudes, negative coordinates, two metrics."""
+    import math
+
+    def sphere(a, b):
+        p1, p2 = math.radians(a[0]), math.radians(b[0])
+        h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(h, 1.0)))
+
+    def planar(a, b):
+        return math.hypot(a[0] - b[0], a[1] - b[1])
+
+    r = random.Random(3)
+    clients = {}
+    for name, (lat, lon, spread) in {"a": (59.3, 18.0, 0.02), "b": (-33.1, -70.2, 0.03), "c": (0.0, 0.0, 0.02), "d": (84.0, 179.0, 0.05)}.items():
+        pts = [(round(lat + r.uniform(-spread, spread), 4), round(lon + r.uniform(-spread, spread), 4)) for _ in range(150)]
+        pts += [(round(lat + spread / 2 + r.gauss(0, 0.0008), 5), round(lon + r.gauss(0, 0.0008), 5)) for _ in range(120)]  # a crowd
+        pts += [pts[0]] * 4 + [(round(lat - spread + 0.0015 * k, 5), lon - spread) for k in range(12)]                       # copies, a chain
+        clients[name] = pts
+    df = spark.createDataFrame([(c, *p) for c, pts in clients.items() for p in pts], "client_id string, lat double, lon double")
+    for metric, dist, eps, least in (("sphere", sphere, 180.0, 4), ("sphere", sphere, 400.0, 12), ("planar", planar, 0.0016, 3), ("planar", planar, 0.0016, 1)):
+        got = density_cluster(df, eps, least, metric=metric).collect()
+        assert len(got) == sum(len(set(p)) for p in clients.values())
+        for c, pts in clients.items():
+            label, core = _labels(pts, eps, least, dist)
+            assert {(x["lat"], x["lon"]): None if x["label"] is None else tuple(x["label"]) for x in got if x["client_id"] == c} == label
+            assert {(x["lat"], x["lon"]) for x in got if x["client_id"] == c and x["is_core"]} == core
+
+
+def test_no_points(spark):
+    assert density_cluster(spark.createDataFrame([], "client_id string, lat double, lon double"), 100.0, 2).count() == 0
