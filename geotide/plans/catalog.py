@@ -8,6 +8,7 @@ them whole.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,11 @@ def query(name: str):
     return deco
 
 
+def _newest(df: DataFrame, column: str):
+    """A reference time inside the data: the newest value of a column (AS_OF if there is none)."""
+    return df.agg(F.max(column)).first()[0] or AS_OF
+
+
 def _no_path(df: DataFrame, *cols: str) -> DataFrame:
     cols = cols or ("path",)
     return df.drop(*[c for c in cols if c in df.columns])
@@ -165,7 +171,7 @@ def q_eta_accuracy(t):
 @query("boarding_window_hit_rate")
 def q_boarding_window_hit_rate(t):
     c = views.departure_candidates(t.astar_routes, t.trip_updates, t.gtfs_trips)
-    return views.boarding_window_hit_rate(c, AS_OF)
+    return views.boarding_window_hit_rate(c, _newest(c, "departure_time"))
 
 
 @query("geodata_latest_point")
@@ -186,7 +192,7 @@ def q_predicted_poi_nearest_stop(t):
 @query("next_feasible_departure_per_client")
 def q_next_feasible_departure(t):
     c = views.departure_candidates(t.astar_routes, t.trip_updates, t.gtfs_trips)
-    return views.next_feasible_departure_per_client(c, AS_OF)
+    return views.next_feasible_departure_per_client(c, AS_OF - _dt.timedelta(days=15))
 
 
 # ------------------------------------------------------------ behaviour -----
@@ -508,8 +514,9 @@ def q_weekly_enriched(t):
 
 @query("fresh_results")
 def q_fresh_results(t):
-    """B16."""
-    return _no_path(_rt.fresh_results(t.optimized_routes, t.reroutes, t.mqtt_sessions, AS_OF))
+    """B16 as of the newest route that lies in a session."""
+    newest = _newest(q_route_sessions(t), "created_at")
+    return _no_path(_rt.fresh_results(t.optimized_routes, t.reroutes, t.mqtt_sessions, newest))
 
 
 @query("publish_payloads")
