@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geotide.llm.shared import in_arrow
 from geotide.llm.words import chunks, large_batches
 
 #: Buckets of the n-gram hash as a power of two, and the n-gram lengths.
@@ -115,7 +116,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha
     """Count over all given rows with text and language; ``alpha`` is the additive smoothing."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counted = (rows.mapInArrow(_count, "lang string, bucket int, n long")
+    counted = (in_arrow(rows, _count, "lang string, bucket int, n long")
                .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())  # languages x 2**BITS rows at most
     names = sorted(counted["lang"].unique())
     logs = np.zeros((1 << BITS, max(1, len(names))), dtype=np.float32)
@@ -170,7 +171,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", colum
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("text to score"))
     kept = rows.drop("text to score").schema
     schema = kept.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

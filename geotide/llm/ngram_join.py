@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotide.llm.bitmaps import bitmap, in_bitmap, upper_half
-from geotide.llm.shared import components, only_ids
+from geotide.llm.shared import components, in_arrow, only_ids
 from geotide.llm.words import chunks, mix, sequences, words
 from geotide.session import materialize
 
@@ -78,7 +78,7 @@ def frequency_classes(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     The sketch adds up, over pieces of the corpus, shingles that repeat within a piece.  Its size is
     fixed; it decides only the order of shingles, never which pairs are found.
     """
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _sketch(size, b), "bucket long, n long")
+    rows = in_arrow(docs.select(F.col(text_col).alias("text")), lambda b: _sketch(size, b), "bucket long, n long")
     counts = rows.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > RARE).toPandas()  # 2**SKETCH_BITS rows at most
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     out[counts["bucket"].to_numpy(dtype=np.int64)] = np.minimum(31, np.log2(counts["n"].to_numpy(dtype=float) / RARE).astype(int) + 1)
@@ -125,7 +125,7 @@ def recurring_shingles(rows: DataFrame, size: int, classes, threshold: tuple[int
             u, n = np.unique(mix(np.concatenate(first)) if first else np.zeros(0, _U), return_counts=True)
             yield pa.RecordBatch.from_arrays([upper_half(u), pa.array(np.minimum(n, 2))], names=["m", "n"])
 
-    return bitmap(rows.mapInArrow(run, "m long, n long"))
+    return bitmap(in_arrow(rows, run, "m long, n long"))
 
 
 def shingle_sets(rows: DataFrame, size: int, classes, recurring, threshold: tuple[int, int]) -> DataFrame:
@@ -147,7 +147,7 @@ def shingle_sets(rows: DataFrame, size: int, classes, recurring, threshold: tupl
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                                               pa.array(n, pa.int64()), _list(place), _list(prefix)], names=["id", "s1", "s2", "n", "place", "prefix"])
 
-    return rows.mapInArrow(run, "id long, s1 long, s2 long, n long, place array<long>, prefix array<long>")
+    return in_arrow(rows, run, "id long, s1 long, s2 long, n long, place array<long>, prefix array<long>")
 
 
 def segments(docs: DataFrame, size: int, classes) -> DataFrame:
@@ -170,7 +170,7 @@ def segments(docs: DataFrame, size: int, classes) -> DataFrame:
                                              names=["id", "s1", "f", "seg"])
 
     # repeated rows of a document would be counted twice
-    return docs.mapInArrow(run, "id long, s1 long, f int, seg array<long>").dropDuplicates(["id", "s1", "f"])
+    return in_arrow(docs, run, "id long, s1 long, f int, seg array<long>").dropDuplicates(["id", "s1", "f"])
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, classes) -> DataFrame:

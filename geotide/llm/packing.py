@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geotide.llm.shared import in_arrow
 from geotide.llm.tokens import encoder
 from geotide.session import materialize
 
@@ -162,7 +163,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fields = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "local", "part")
     # written once: a piece's rank among the pieces of its length and task has to stay the same
-    pieces = materialize(rows.mapInArrow(lambda b: _pieces(window, b), ", ".join(f"{c} long" for c in fields)), "pieces")
+    pieces = materialize(in_arrow(rows, lambda b: _pieces(window, b), ", ".join(f"{c} long" for c in fields)), "pieces")
     per_task = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -187,4 +188,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     ranked = pieces.join(base, ["part", "length"]).select(*fields[:5], (F.col("local") + F.col("base")).alias("rank"))
     schema = ", ".join(f"{c} long" for c in (*fields[:5], "sequence_id", "offset"))
-    return ranked.mapInArrow(put, schema)
+    return in_arrow(ranked, put, schema)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,37 @@ def sized_bits(n: int, each: int = BITS_EACH, least: int = 16, most: int = MOST_
     return min(most, max(least, (max(n, 1) * each - 1).bit_length()))
 
 
+#: Most bytes of an Arrow batch that a task hands to its Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with bounded memory: batches of long texts hold fewer rows, and a worker that has ended its
+    task hands what it freed back to the system.  Lowers the session's limit of a batch if that is larger."""
+    conf = rows.sparkSession.conf
+    now = conf.get(_BATCH_SETTING)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(bounded, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_or_empty(column: str | Column) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
