@@ -84,6 +84,8 @@ def kmeans_per_client(points: DataFrame, k: int = N_CLUSTERS, max_iter: int = MA
         cents = new.select(*key, "cid", "cx", "cy")
         if new.where(F.col("moved")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"k-means still moves after {max_iter} rounds; allow more by max_iter")
     # best run per client by inertia, clusters numbered by centre position
     a = zr.join(cents, key).withColumn("d", _d2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")))
     best = a.groupBy(*key, "lat", "lon", "weight").agg(F.min(F.struct("d", "cid")).alias("b"))

@@ -7,6 +7,8 @@ the per-client facts, and a ``when`` cascade for the decision branches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,17 +137,51 @@ def blend_scores(score_astar: Column, score_mapf: Column, astar_ratio: Column, m
                     F.when(tot > 1e-9, bm / tot).otherwise(bm).alias("p_mapf"))
 
 
+def route_features(pairs: DataFrame, optimized: DataFrame, geodata: DataFrame, as_of) -> DataFrame:
+    """B10 for both candidates of each client: ``pairs`` (client_id, astar_dist, mapf_dist) -> client_id, astar, mapf
+    (feature arrays) with the client's latest speed (L5, 0 if unknown) and usage ratios (G4)."""
+    j = with_usage_ratios(pairs.join(latest_speed(geodata), "client_id", "left"), optimized)
+    speed, ra, rm = F.coalesce(F.col("speed"), F.lit(0.0)), F.col("astar_ratio"), F.col("mapf_ratio")
+    return j.select("client_id", candidate_features(F.col("astar_dist"), False, as_of, speed, ra, rm).alias("astar"),
+                    candidate_features(F.col("mapf_dist"), True, as_of, speed, ra, rm).alias("mapf"))
+
+
+def route_scores(pairs: DataFrame, optimized: DataFrame, geodata: DataFrame, as_of, scorer: Callable) -> DataFrame:
+    """V1 over B10: (client_id, score_astar, score_mapf).
+
+    ``scorer`` takes two float arrays of shape (rows, 6), the features of the direct and of the multimodal
+    candidates, and returns either two scores a row (rows, 2) or one score s a row, read as (1 - s, s).  It runs
+    in tasks, once per Arrow batch; what it closes over, such as a model, is broadcast with it.
+    """
+    import numpy as np
+
+    def run(pdf):
+        if not len(pdf):
+            return pdf.assign(score_astar=[], score_mapf=[])[["client_id", "score_astar", "score_mapf"]]
+        out = np.asarray(scorer(np.stack(pdf["astar"]).astype(float), np.stack(pdf["mapf"]).astype(float)), dtype=float)
+        out = out.reshape(len(pdf), -1)
+        if out.shape[1] == 1:
+            out = np.hstack([1.0 - out, out])
+        if out.shape[1] != 2:
+            raise ValueError("a scorer gives one or two scores a row")
+        return pdf[["client_id"]].assign(score_astar=out[:, 0], score_mapf=out[:, 1])
+
+    from geotide.operators.features import score_with
+    return score_with(route_features(pairs, optimized, geodata, as_of), run, "client_id string, score_astar double, score_mapf double")
+
+
 # -- B12 ---------------------------------------------------------------------
 
 def choose_route(targets: DataFrame, astar: DataFrame, mapf: DataFrame, candidates: DataFrame,
                  profiles: DataFrame, optimized: DataFrame, geodata: DataFrame, as_of,
-                 scores: DataFrame | None = None) -> DataFrame:
+                 scores: DataFrame | None = None, scorer: Callable | None = None) -> DataFrame:
     """One decision per client with a target POI.
 
     ``targets``: client_id, lat, lon (from L2).  Branches, in order: no A*
     route to the POI -> ``fallback``; no successful MAPF route -> ``direct``;
     no aligned departure at the MAPF stop -> ``direct``; model scores present
-    (``scores``: client_id, score_astar, score_mapf) -> blended choice with the
+    (``scores``: client_id, score_astar, score_mapf; or ``scorer``, which is run over the B10 features of
+    the clients that come this far, see ``route_scores``) -> blended choice with the
     close-margin tie-break; otherwise the distance heuristic
     ``astar < mapf + 100 + max(0, delay)`` -> ``direct`` else ``multimodal``.
     """
@@ -176,6 +212,8 @@ def choose_route(targets: DataFrame, astar: DataFrame, mapf: DataFrame, candidat
     has_d = F.coalesce(F.col("has_dep"), F.lit(False))
     heuristic_direct = F.col("astar_dist") < (F.col("mapf_dist") + F.lit(MAPF_PENALTY_METERS)
                                               + F.greatest(F.lit(0.0), F.col("delay")))
+    if scorer is not None:
+        scores = route_scores(j.where(has_a & has_m & has_d).select("client_id", "astar_dist", "mapf_dist"), optimized, geodata, as_of, scorer)
     if scores is not None:
         fav = favourite_routes(candidates).select(F.col("client_id").alias("f_c"), F.col("route_id").alias("f_r"),
                                                   F.lit(True).alias("is_fav"))

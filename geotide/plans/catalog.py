@@ -451,6 +451,47 @@ def q_choose_route(t):
     return _choice(t).withColumn("path_points", F.size("path")).drop("path")
 
 
+def _scored_inputs(t):
+    """Targets are the destinations of the newest multimodal routes; departures within the hour after arrival count."""
+    m = t.mapf_routes.where("success").groupBy("client_id").agg(F.max(F.struct("created_at", "id", "destination_lat", "destination_lon")).alias("m"))
+    targets = m.select("client_id", F.col("m.destination_lat").alias("lat"), F.col("m.destination_lon").alias("lon"))
+    return targets, _jn.departure_candidates(t.astar_routes, t.trip_updates, t.gtfs_trips, 0, 3600)
+
+
+def _stepwise(astar, mapf):
+    """A fixed scorer for the registered queries: the difference in distance, in quarters."""
+    import numpy as np
+    return 0.5 + 0.5 * np.floor((astar[:, 0] - mapf[:, 0]) * 4 + 0.5) / 4
+
+
+@query("candidate_scores")
+def q_candidate_scores(t):
+    """B10, V1 and B11 for every client with both kinds of route to its target."""
+    newest = lambda df, name: df.groupBy("client_id", "destination_lat", "destination_lon").agg(
+        F.max(F.struct("created_at", "id", "distance")).alias("r")).select(
+            "client_id", F.col("destination_lat").alias("lat"), F.col("destination_lon").alias("lon"), F.col("r.distance").alias(name))
+    targets, _ = _scored_inputs(t)
+    on = ["client_id", "lat", "lon"]
+    pairs = targets.join(newest(t.astar_routes.where("target_type = 'poi'"), "astar_dist"), on).join(newest(t.mapf_routes.where("success"), "mapf_dist"), on)
+    f = _rt.route_features(pairs, t.optimized_routes, t.geodata, AS_OF)
+    s = _rt.route_scores(pairs, t.optimized_routes, t.geodata, AS_OF, _stepwise)
+    j = f.join(s, "client_id")
+    b = _rt.blend_scores(F.col("score_astar"), F.col("score_mapf"), F.col("astar")[4].cast("double"), F.col("astar")[5].cast("double"), F.lit(False))
+    names = ("distance", "multimodal", "hour", "speed", "astar_ratio", "mapf_ratio")
+    return j.select("client_id", *[F.round(F.col("mapf")[k].cast("double"), 5).alias(f"f_{n}") for k, n in enumerate(names)],
+                    "score_astar", "score_mapf", F.round(b["p_astar"], 5).alias("p_astar"), F.round(b["p_mapf"], 5).alias("p_mapf"))
+
+
+@query("choose_route_scored")
+def q_choose_route_scored(t):
+    """B12 with a scorer: every branch occurs, the scored one with ties broken by delay and switch time."""
+    targets, cand = _scored_inputs(t)
+    c = _rt.choose_route(targets, t.astar_routes, t.mapf_routes, cand, t.client_switch_profiles, t.optimized_routes, t.geodata, AS_OF,
+                         scorer=_stepwise)
+    return c.select("client_id", "stop_id", "destination_lat", "destination_lon", "segment_type", "decision_branch",
+                    F.size("path").alias("path_points"))
+
+
 @query("reroute_reasons")
 def q_reroute_reasons(t):
     """B13 for the newest chosen route of every active client, with the streak of its last tick."""
@@ -769,7 +810,7 @@ def q_session_get_or_create(t):
 
 
 def _day_table(t, tag: str, frames, key, time: str):
-    table = _st.DayTable(t.spark, _stream_folder(t, tag), frames[0].schema, key, time)
+    table = _st.DayTable(t.spark, _stream_folder(t, tag), frames[0].schema, key, time, buckets=4)
     for df in frames:
         table.insert(df)
     return table
@@ -780,7 +821,7 @@ def q_insert_ignore_points(t):
     """K1: clicks and views are stored first; inserting all points then, twice, adds the others and changes none."""
     g = t.geodata.select("client_id", "timestamp", "lat", "lon", "activity")
     again = g.withColumn("lat", F.col("lat") + 1.0)
-    return _day_table(t, "insert", [g.where(F.col("activity").isin("click", "view")), again, again], ["client_id", "timestamp"],
+    return _day_table(t, "insert", [g.where(F.col("activity").isin("Walking", " bus ")), again, again], ["client_id", "timestamp"],
                       "timestamp").rows()
 
 
@@ -834,7 +875,8 @@ from geotide.operators import features as _ft  # noqa: E402
 
 
 def _training(t):
-    return _ft.training_vectors(t.gtfs_stops, t.vehicle_arrivals, t.trajectories)
+    return _ft.training_vectors(t.user_patterns, t.pois, t.predicted_pois_sequence, t.astar_routes, t.mapf_routes, t.gtfs_stops,
+                                t.vehicle_arrivals, t.trajectories)
 
 
 @query("training_vectors")
@@ -845,26 +887,47 @@ def q_training_vectors(t):
 
 @query("feature_scaler")
 def q_feature_scaler(t):
-    """G13 over the training vectors."""
-    cols = ["lat", "lon", "hour"]
-    st = _ft.feature_scaler(_training(t), cols)
+    """G13 over the training vectors, all features."""
+    st = _ft.feature_scaler(_training(t), _ft.FEATURES)
     return st.select(*[F.round(c, 6).alias(c) for c in st.columns])
 
 
+@query("scaled_vectors")
+def q_scaled_vectors(t):
+    """Standardised training vectors, and whether the inverse brings every feature back."""
+    tv = _training(t)
+    st = _ft.feature_scaler(tv, _ft.FEATURES)
+    raw = tv.select(*_ft.FEATURES, *[F.col(c).alias(f"raw_{c}") for c in _ft.FEATURES])
+    scaled = _ft.standardise(raw, st, _ft.FEATURES)
+    back = _ft.standardise(scaled.select("*", *[F.col(c).alias(f"scaled_{c}") for c in _ft.FEATURES]), st, _ft.FEATURES, inverse=True)
+    same = F.lit(True)
+    for c in _ft.FEATURES:
+        same = same & (F.abs(F.col(c) - F.col(f"raw_{c}")) < 1e-9)
+    return back.select(*[F.col(f"raw_{c}").alias(c) for c in ("lat", "lon", "hour")],
+                       *[F.round(f"scaled_{c}", 4).alias(f"scaled_{c}") for c in _ft.FEATURES], same.alias("comes_back"))
+
+
+@query("client_scaler")
+def q_client_scaler(t):
+    """G13 per client over the telemetry positions."""
+    st = _ft.key_scaler(t.geodata, "client_id", ["lat", "lon"])
+    return st.select("client_id", *[F.round(c, 6).alias(c) for c in st.columns if c != "client_id"])
+
+
 @query("sequence_windows")
 def q_sequence_windows(t):
-    """60-row history windows over the time-ordered training vectors."""
-    w = _ft.sequence_windows(_training(t))
-    return w.select("idx", F.size("window").alias("steps"), "label_lat", "label_lon")
+    """60-row history windows over the ordered training vectors; their contents as a digest of rounded values."""
+    w = _ft.sequence_windows(_training(t), block=256)
+    return w.select("idx", F.md5(_ft.rounded_text("window")).alias("window_md5"), F.size("window").alias("steps"), "label_lat", "label_lon")
 
 
 @query("sequence_pad")
 def q_sequence_pad(t):
-    """Each client's last 60 points as a left-padded feature sequence."""
+    """Each client's last 60 points as a left-padded feature sequence; its contents as a digest of rounded values."""
     g = t.geodata.select("client_id", "timestamp", "lat", "lon", "speed",
                          (F.hour("timestamp") / F.lit(23.0)).alias("hour"))
     s = _ft.sequence_pad(g, features=("hour", "speed", "lat", "lon"))
-    return s.select("client_id", F.size("sequence").alias("steps"))
+    return s.select("client_id", F.md5(_ft.rounded_text("sequence")).alias("sequence_md5"), F.size("sequence").alias("steps"))
 
 
 @query("movement_patterns")

@@ -78,9 +78,11 @@ class MobilityTables:
             (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"),
             _client().alias("client_id"),
             _dest_lat().alias("lat"), _dest_lon().alias("lon"),
-            _null("double").alias("elevation"),
+            F.when(F.col("event_id") % 9 != 0, (F.col("event_id") % 64) * _lit_d(0.25)).alias("elevation"),
             (F.col("value") / _lit_d(40.0)).alias("speed"),
-            F.col("event_type").alias("activity"),
+            # spellings as phones send them
+            F.when(F.col("event_type") == "click", F.lit("Walking")).when(F.col("event_type") == "view", F.lit(" bus "))
+             .when(F.col("event_type") == "signup", F.lit("idle")).otherwise(F.col("event_type")).alias("activity"),
             F.col("ts").alias("timestamp"),
             (F.col("ts") + F.expr("INTERVAL 3 SECONDS")).alias("updated_at"))
 

@@ -56,6 +56,39 @@ def test_choose_route_branches(spark):
     assert out["c5"]["segment_type"] == "multimodal" and out["c5"]["stop_id"] == "7"
 
 
+def test_choose_route_with_a_scorer(spark):
+    """Only clients with both routes and a departure are scored; one or two scores a row; the tie-break."""
+    targets, astar, mapf, cand, prof, opt, geo = _route_frames(spark)
+
+    def run(scorer, profiles=prof):
+        out = rt.choose_route(targets, astar, mapf, cand, profiles, opt, geo, AS_OF, scorer=scorer).collect()
+        return {r["client_id"]: (r["segment_type"], r["decision_branch"]) for r in out}
+
+    others = {"c1": ("fallback", "no_astar"), "c2": ("direct", "no_mapf"), "c3": ("direct", "no_departure")}
+    # one score, for the multimodal route: of the longer direct route c5's is larger
+    assert run(lambda a, m: a[:, 0]) == {**others, "c4": ("direct", "scored"), "c5": ("direct", "scored")}
+    assert run(lambda a, m: a[:, 0] * 2) == {**others, "c4": ("direct", "scored"), "c5": ("multimodal", "scored")}
+    assert run(lambda a, m: a[:, [1, 1]] + [[0.2, 0.7]]) == {**others, "c4": ("multimodal", "scored"), "c5": ("multimodal", "scored")}
+    # equal scores: direct, but where departures are late by little and the client switches fast
+    fast = spark.createDataFrame([("c4", "7", 120), ("c5", "7", 121)], "client_id string, stop_id string, avg_switch_seconds int")
+    nobody = spark.createDataFrame([("c9", "7", 1)], "client_id string, stop_id string, avg_switch_seconds int")
+    tie = lambda a, m: 0.5 + 0 * a[:, 0]
+    cand = cand.withColumn("route_id", F.lit(None).cast("string"))
+    assert run(tie, nobody) == {**others, "c4": ("direct", "scored"), "c5": ("direct", "scored")}
+    assert run(tie, fast) == {**others, "c4": ("multimodal", "scored"), "c5": ("direct", "scored")}
+
+
+def test_route_features(spark):
+    pairs = spark.createDataFrame([("a", 2500.0, 9000.0), ("b", 0.0, -1.0)], "client_id string, astar_dist double, mapf_dist double")
+    opt = spark.createDataFrame([("a", "direct"), ("a", "Multimodal"), ("a", "fallback"), ("a", "direct")], "client_id string, segment_type string")
+    geo = spark.createDataFrame([("a", 3.0, AS_OF, AS_OF, 1), ("a", 99.0, AS_OF - dt.timedelta(hours=1), AS_OF, 2)],
+                                "client_id string, speed double, updated_at timestamp_ntz, timestamp timestamp_ntz, id long")
+    noon = AS_OF.replace(hour=23)
+    f = {r["client_id"]: (list(r["astar"]), list(r["mapf"])) for r in rt.route_features(pairs, opt, geo, noon).collect()}
+    assert f["a"] == ([0.5, 0.0, 1.0, 0.5, 0.5, 0.25], [1.0, 1.0, 1.0, 0.5, 0.5, 0.25])
+    assert f["b"] == ([0.0, 0.0, 1.0, 0.0, 0.5, 0.5], [0.0, 1.0, 1.0, 0.0, 0.5, 0.5])
+
+
 def test_reroute_reasons(spark):
     t_old = AS_OF - dt.timedelta(seconds=100)
     line = [(18.0, 59.3), (18.01, 59.3)]
