@@ -654,7 +654,8 @@ def _bundle(t, member: str):
     from geotide.session import checkpoint_dir
     folder = f"{checkpoint_dir(t.spark).rstrip('/')}/gtfs-{uuid.uuid4().hex}"
     _gtfs.write_gtfs_bundle({"gtfs_stops": t.gtfs_stops, "gtfs_routes": t.gtfs_routes, "gtfs_trips": t.gtfs_trips,
-                             "gtfs_stop_times": t.gtfs_stop_times}, folder)
+                             "gtfs_stop_times": t.gtfs_stop_times, "gtfs_calendar": t.gtfs_calendar,
+                             "gtfs_calendar_dates": t.gtfs_calendar_dates}, folder)
     return _gtfs.read_gtfs_bundle(t.spark, folder)[member]
 
 
@@ -682,6 +683,18 @@ def q_gtfs_stop_times_csv(t):
     return _bundle(t, "gtfs_stop_times")
 
 
+@query("gtfs_calendar_csv")
+def q_gtfs_calendar_csv(t):
+    """A10."""
+    return _bundle(t, "gtfs_calendar").withColumns({c: F.col(c).cast("string") for c in ("start_date", "end_date")})
+
+
+@query("gtfs_calendar_dates_csv")
+def q_gtfs_calendar_dates_csv(t):
+    """Exception types are clipped to 1 or 2."""
+    return _bundle(t, "gtfs_calendar_dates").withColumn("date", F.col("date").cast("string"))
+
+
 @query("rt_trip_updates")
 def q_rt_trip_updates(t):
     """A4 over decoded feeds encoded from the trip updates."""

@@ -158,6 +158,21 @@ class MobilityTables:
             "trip_id", _null("string").alias("arrival_time"), _null("string").alias("departure_time"),
             "stop_id", "stop_sequence")
 
+    @cached_property
+    def gtfs_calendar(self) -> DataFrame:
+        """One service per day of the month: the weekdays it ran on, its first and last date, as bundle text."""
+        e = self._transit_events().select(F.dayofmonth("ts").cast("string").alias("service_id"), F.weekday("ts").alias("w"), "ts")
+        days = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+        return e.groupBy("service_id").agg(*[F.max((F.col("w") == k).cast("int")).cast("string").alias(d) for k, d in enumerate(days)],
+                                           F.date_format(F.min("ts"), "yyyyMMdd").alias("start_date"), F.date_format(F.max("ts"), "yyyyMMdd").alias("end_date"))
+
+    @cached_property
+    def gtfs_calendar_dates(self) -> DataFrame:
+        """Exceptions: a service is added (1) or, where errors were many, dropped (an unknown code beyond 2)."""
+        e = self.raw("events").where(F.col("event_type") == "error")
+        g = e.groupBy(F.dayofmonth("ts").cast("string").alias("service_id"), F.date_format("ts", "yyyyMMdd").alias("date"))
+        return g.agg(F.count(F.lit(1)).cast("string").alias("exception_type"))
+
     # -- GTFS realtime ---------------------------------------------------------
     @cached_property
     def trip_updates(self) -> DataFrame:

@@ -8,11 +8,20 @@ load.
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
 import os
+import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geotide.session import checkpoint_dir
+
 # Required columns of each GTFS member, in order.
 STOPS_COLS = ["stop_id", "stop_code", "stop_name", "stop_desc", "stop_lat", "stop_lon", "zone_id", "stop_url",
               "location_type", "parent_station", "stop_timezone", "wheelchair_boarding", "platform_code"]
@@ -91,19 +100,62 @@ PARSERS = {"gtfs_stops": parse_stops, "gtfs_routes": parse_routes, "gtfs_trips":
            "gtfs_calendar_dates": parse_calendar_dates}
 
 
-def read_gtfs_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The six members of an unzipped bundle folder as typed DataFrames (missing members skipped)."""
+def read_gtfs_bundle(spark: SparkSession, folder: str, multi_line: bool = False) -> dict[str, DataFrame]:
+    """The six members of an unzipped bundle folder as typed DataFrames (missing members skipped).
+
+    Quoted fields that hold line ends need ``multi_line``, with which a file is read by one task."""
     out = {}
     for member, table in MEMBERS.items():
         path = os.path.join(folder, member)
         if not _exists(spark, path):
             continue
         raw = spark.read.option("header", "true").option("inferSchema", "false") \
-            .option("quote", '"').option("escape", '"').csv(path)  # GTFS doubles quotes inside quotes
+            .option("quote", '"').option("escape", '"') \
+            .option("multiLine", multi_line).csv(path)  # GTFS doubles quotes inside quotes
         out[table] = PARSERS[table](raw)
     return out
 
 
+COLUMNS = {"gtfs_stops": STOPS_COLS, "gtfs_routes": ROUTES_COLS, "gtfs_trips": TRIPS_COLS, "gtfs_stop_times": STOP_TIMES_COLS,
+           "gtfs_calendar": CALENDAR_COLS, "gtfs_calendar_dates": CALENDAR_DATES_COLS}
+_BATCH = 8192
+
+
+def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the known members of each archive, read as a stream; a row without fields says that the member is there."""
+    csv.field_size_limit(1 << 30)
+    for batch in batches:
+        for content in batch.column(0):
+            with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
+                for member in sorted(MEMBERS.keys() & set(z.namelist())):
+                    table = MEMBERS[member]
+                    yield pa.RecordBatch.from_arrays([pa.array([table]), pa.array([None], pa.list_(pa.string()))], names=["table", "f"])
+                    # quoted fields may hold line ends, doubled quotes and commas; a byte-order mark may lead the header
+                    rows = csv.reader(io.TextIOWrapper(z.open(member), encoding="utf-8-sig", errors="replace", newline=""))
+                    header = [h.strip() for h in next(rows, [])]
+                    at = [header.index(c) if c in header else None for c in COLUMNS[table]]
+                    while part := list(itertools.islice(rows, _BATCH)):
+                        f = [[r[k] or None if k is not None and k < len(r) else None for k in at] for r in part if r]
+                        yield pa.RecordBatch.from_arrays([pa.array([table] * len(f), pa.string()), pa.array(f, pa.list_(pa.string()))], names=["table", "f"])
+
+
+def read_gtfs_zip(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The six members of one or more zipped bundles as typed DataFrames (missing members skipped).
+
+    Archives are read by tasks, one each, and their rows go to a table in the shared folder, parted by
+    member; the driver sees the members' names only.  ``path`` may be a file, a folder or a pattern.
+    """
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    stage = f"{checkpoint_dir(spark).rstrip('/')}/gtfs-zip-{uuid.uuid4().hex}"
+    raw.mapInArrow(_unzip, "table string, f array<string>").write.partitionBy("table").parquet(stage)
+    rows = spark.read.schema("f array<string>, table string").parquet(stage)
+    out = {}
+    for (table,) in rows.where("f is null").select("table").distinct().collect():  # six names at most
+        own = rows.where((F.col("table") == table) & F.col("f").isNotNull())
+        out[table] = PARSERS[table](own.select(*[F.col("f")[k].alias(c) for k, c in enumerate(COLUMNS[table])]))
+    return out
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -66,3 +66,35 @@ def test_retention(spark):
     df = spark.createDataFrame([(now - dt.timedelta(days=d),) for d in (1, 27, 29, 40)], "created_at timestamp_ntz")
     kept, expired = writes.retention_ttl(df, now)
     assert kept.count() == 2 and expired.first()["expired"] == 2
+
+
+def test_gtfs_zip(spark):
+    """Archives read by tasks: doubled quotes, line ends in a field, a byte-order mark, numbers out of range, short rows, a missing member."""
+    import datetime as dt
+    import zipfile
+    d = tempfile.mkdtemp(prefix="zip-", dir="/tmp")
+    stops = '\ufeffstop_id,stop_name,stop_lat,stop_lon,location_type,extra\n1,"The ""Old"" Square, north",59.3,18.1,99999999999,x\n' \
+        '2,"two\nlines",abc,,-5,\n3,short\n\n'
+    with zipfile.ZipFile(f"{d}/a.zip", "w") as z:
+        z.writestr("stops.txt", stops)
+        z.writestr("calendar_dates.txt", "service_id,date,exception_type\r\ns,20240229,7\r\ns,20240230,\r\n")
+        z.writestr("calendar.txt", "service_id,monday,sunday,start_date,end_date\ns,1,5,20240101,never\n")
+        z.writestr("routes.txt", "route_id,route_type\n")
+        z.writestr("feed_info.txt", "ignored")
+    with zipfile.ZipFile(f"{d}/b.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("trips.txt", "trip_id,route_id,direction_id\n" + "".join(f"t{k},r,{k}\n" for k in range(20_000)))
+        z.writestr("stops.txt", "stop_id\n9\n")
+    one = gtfs.read_gtfs_zip(spark, f"{d}/a.zip")
+    assert set(one) == {"gtfs_stops", "gtfs_calendar_dates", "gtfs_calendar", "gtfs_routes"}
+    st = {r["stop_id"]: r for r in one["gtfs_stops"].collect()}
+    assert set(st) == {"1", "2", "3"} and one["gtfs_routes"].count() == 0
+    assert (st["1"]["stop_name"], st["1"]["stop_lat"], st["1"]["location_type"]) == ('The "Old" Square, north', 59.3, 255)
+    assert (st["2"]["stop_name"], st["2"]["stop_lat"], st["2"]["stop_lon"], st["2"]["location_type"]) == ("two\nlines", None, None, 0)
+    assert (st["3"]["stop_name"], st["3"]["stop_lat"], st["3"]["location_type"]) == ("short", None, 0)
+    assert sorted((r["date"], r["exception_type"]) for r in one["gtfs_calendar_dates"].where("date is not null").collect()) == [(dt.date(2024, 2, 29), 2)]
+    assert [r["exception_type"] for r in one["gtfs_calendar_dates"].where("date is null").collect()] == [1]
+    cal = one["gtfs_calendar"].collect()[0]
+    assert (cal["monday"], cal["tuesday"], cal["sunday"], cal["start_date"], cal["end_date"]) == (1, 0, 1, dt.date(2024, 1, 1), None)
+    both = gtfs.read_gtfs_zip(spark, d)
+    assert both["gtfs_stops"].count() == 4 and both["gtfs_trips"].count() == 20_000
+    assert [r[0] for r in both["gtfs_trips"].select("direction_id").distinct().orderBy("direction_id").collect()] == [0, 1]
