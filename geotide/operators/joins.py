@@ -261,8 +261,7 @@ def switch_profile_lookup(df: DataFrame, profiles: DataFrame, default_s: int | N
     return j
 
 
-def has_departure(df: DataFrame, trip_updates: DataFrame, as_of, stop_col: str = "stop_id") -> DataFrame:
-    """Rows whose stop has at least one departure at or after ``as_of``."""
-    from geotide.functions.timefn import ts_literal
-    t = trip_updates.where(F.col("departure_time") >= ts_literal(as_of)).select(F.col("stop_id").alias("__s"))
-    return df.join(t, df[stop_col] == t["__s"], "left_semi")
+def has_departure(routes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Routes for whose (client, stop) there is a departure candidate."""
+    known = candidates.select(F.col("client_id").alias("__c"), F.col("stop_id").alias("__s"))
+    return routes.join(known, (routes["client_id"] == known["__c"]) & (routes["stop_id"] == known["__s"]), "left_semi")

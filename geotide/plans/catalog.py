@@ -390,9 +390,7 @@ def q_switch_profile_lookup(t):
 @query("has_departure")
 def q_has_departure(t):
     """Multimodal optimized routes whose (client, stop) has a departure candidate."""
-    c = _candidates(t).select(F.col("client_id").alias("__c"), F.col("stop_id").alias("__s"))
-    o = t.optimized_routes.where(F.col("segment_type") == "multimodal")
-    return _no_path(o.join(c, (o["client_id"] == c["__c"]) & (o["stop_id"] == c["__s"]), "left_semi"))
+    return _no_path(_jn.has_departure(t.optimized_routes.where(F.col("segment_type") == "multimodal"), _candidates(t)))
 
 
 @query("dwell_time")
@@ -624,6 +622,62 @@ def q_upsert_chosen_route(t):
     return _no_path(_wr.upsert_chosen_route(t.optimized_routes, _choice(t), AS_OF))
 
 
+@query("upsert_hotspot_places")
+def q_upsert_hotspot_places(t):
+    """K2: stored hotspots merged with the places of clicks: known places are replaced, others come in, the rest stays."""
+    key = ["client_id", "lat", "lon"]
+    new = t.user_patterns.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(
+        *key, (F.col("n") * 10.0).alias("radius"), F.col("n").cast("double").alias("density"), F.lit("place").alias("type"), F.lit("poi").alias("source_type"))
+    known = t.hotspots.select(*key, F.lit(True).alias("known"))
+    out = _wr.upsert_hotspots(t.hotspots, new, AS_OF).join(known, key, "left")
+    # ids of new rows are hashes
+    return out.withColumn("hotspot_id", F.when(F.col("known"), F.col("hotspot_id"))).drop("known", "time_spent")
+
+
+@query("publish_payload_fields")
+def q_publish_payload_fields(t):
+    """K9 + F17: topic and payload read back: JSON fields, and the printed line parsed again."""
+    from geotide.functions.geo import parse_wkt_linestring
+    from geotide.functions.timefn import lenient_ts
+    cols = ["client_id", "stop_id", "destination_lat", "destination_lon", "path", "segment_type", "created_at"]
+    o = t.optimized_routes.where("is_valid").select(*cols, F.lit(0).alias("src"), "id")
+    r = t.reroutes.select(*cols, F.lit(1).alias("src"), "id")
+    res = _jn.session_asof(o.unionByName(r), t.mqtt_sessions, ["src", "id"]).withColumnRenamed("asof_session_id", "session_id")
+    p = F.from_json("payload", "client_id string, session_id long, stop_id string, destination struct<lat:double,lon:double>, route_path string, timestamp string")
+    f = _rt.publish_payloads(res).select("topic", p.alias("p"))
+    line = parse_wkt_linestring(F.col("p.route_path"))
+    return f.select("topic", "p.client_id", "p.session_id", "p.stop_id", F.col("p.destination.lat").alias("lat"), F.col("p.destination.lon").alias("lon"),
+                    F.size(line).alias("points"), line[1]["lat"].alias("end_lat"), line[1]["lon"].alias("end_lon"),
+                    lenient_ts(F.col("p.timestamp")).alias("created_at"))
+
+
+@query("line_centroids")
+def q_line_centroids(t):
+    """length-weighted centroid of every session's line."""
+    from geotide.functions.geo import LINE_TYPE, line_centroid
+    path = F.transform("trajectory", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).cast(LINE_TYPE)
+    c = t.trajectories.select("client_id", "session_id", line_centroid(path).alias("c"))
+    return c.select("client_id", "session_id", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"))
+
+
+@query("request_boxes")
+def q_request_boxes(t):
+    """buffered box around origin and destination of every route request."""
+    from geotide.functions.geo import bbox
+    return t.astar_routes.select("id", bbox("origin_lat", "origin_lon", "destination_lat", "destination_lon").alias("b")).select("id", "b.*")
+
+
+@query("day_paths")
+def q_day_paths(t):
+    """A client's routes of a day joined into one line, as a digest of its vertices."""
+    seg = t.astar_routes.select("client_id", F.dayofmonth("created_at").alias("day"), F.col("id").alias("pos"), "path")
+    j = _rt.path_concat(seg, ["client_id", "day"])
+    unit = F.lit(1e6)
+    text = F.array_join(F.transform("path", lambda v: F.concat_ws(" ", F.round(v["lon"] * unit).cast("long").cast("string"),
+                                                                  F.round(v["lat"] * unit).cast("long").cast("string"))), ",")
+    return j.select("client_id", "day", F.size("path").alias("points"), F.md5(text).alias("path_md5"))
+
+
 # -------------------------------------------------------------- sources -----
 
 from geotide.sources import gtfs as _gtfs  # noqa: E402
