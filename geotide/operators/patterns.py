@@ -51,29 +51,24 @@ def kmeans_per_client(points: DataFrame, k: int = N_CLUSTERS, max_iter: int = MA
     # k-means++ seeding, ``n_init`` independent runs side by side (as the reference's 10 restarts):
     # the first centre is the point with the smallest hash, each next one a D^2-weighted draw made
     # deterministic by an exponential race (smallest -ln(u) / (w D^2)).
-    runs = F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))
-    zr = materialize(z.withColumn("run", runs), "km-runs")
     key = ["client_id", "run"]
 
     def unif(salt):
         h = F.xxhash64(F.col("run"), F.lit(salt), F.col("lat"), F.col("lon"))
         return (F.abs(h % F.lit(1 << 52)) + F.lit(1)) / F.lit(float((1 << 52) + 1))
 
-    first = zr.groupBy(*key).agg(F.min(F.struct(unif(0).alias("u"), "x", "y")).alias("c"))
+    runs = z.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+    first = runs.groupBy(*key).agg(F.min(F.struct(unif(0).alias("u"), "x", "y")).alias("c"))
     cents = materialize(first.select(*key, F.lit(0).alias("cid"), F.col("c.x").alias("cx"),
                                      F.col("c.y").alias("cy")), "km-seed")
     for i in range(1, k):
-        dmin = zr.join(cents, key).groupBy(*key, "lat", "lon", "x", "y", "weight").agg(
-            F.min(_d2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).alias("d"))
         race = (-F.log(unif(i))) / (F.col("weight") * F.col("d"))
-        pick = dmin.where(F.col("d") > 0).groupBy(*key).agg(F.min(F.struct(race.alias("r"), "x", "y")).alias("m"))
+        pick = _nearest(z, cents).where(F.col("d") > 0).groupBy(*key).agg(F.min(F.struct(race.alias("r"), "x", "y")).alias("m"))
         new = pick.select(*key, F.lit(i).alias("cid"), F.col("m.x").alias("cx"), F.col("m.y").alias("cy"))
         cents = materialize(cents.unionByName(new), "km-seed")
-    # Lloyd iterations (all clients and runs together)
+    # Lloyd iterations (all clients and runs together): only sums per centre are shuffled
     for _ in range(max_iter):
-        a = zr.join(cents, key).withColumn("d", _d2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")))
-        best = a.groupBy(*key, "x", "y", "weight").agg(F.min(F.struct("d", "cid")).alias("b"))
-        wsum = best.groupBy(*key, F.col("b.cid").alias("cid")).agg(
+        wsum = _nearest(z, cents).groupBy(*key, "cid").agg(
             (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("nx"),
             (F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("ny"))
         # sums in another order may differ in the last digits: that is no movement
@@ -87,18 +82,26 @@ def kmeans_per_client(points: DataFrame, k: int = N_CLUSTERS, max_iter: int = MA
     else:
         raise RuntimeError(f"k-means still moves after {max_iter} rounds; allow more by max_iter")
     # best run per client by inertia, clusters numbered by centre position
-    a = zr.join(cents, key).withColumn("d", _d2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")))
-    best = a.groupBy(*key, "lat", "lon", "weight").agg(F.min(F.struct("d", "cid")).alias("b"))
-    best = materialize(best, "km-assign")
-    inertia = best.groupBy(*key).agg(F.sum(F.col("b.d") * F.col("weight")).alias("inertia"))
+    inertia = _nearest(z, cents).groupBy(*key).agg(F.sum(F.col("d") * F.col("weight")).alias("inertia"))
     win = inertia.groupBy("client_id").agg(F.min(F.struct("inertia", "run")).alias("w")) \
         .select("client_id", F.col("w.run").alias("run"))
     order = Window.partitionBy(*key).orderBy("cx", "cy", "cid")
-    num = cents.join(win, key, "left_semi").withColumn("cluster", F.row_number().over(order) - 1)
-    out = best.join(win, key, "left_semi").join(num.select(*key, F.col("cid").alias("__cid"), "cluster"),
-                                                (best["client_id"] == num["client_id"]) & (best["run"] == num["run"])
-                                                & (F.col("b.cid") == F.col("__cid")))
-    return out.select(best["client_id"], "lat", "lon", "weight", "cluster")
+    best = materialize(cents.join(win, key, "left_semi").withColumn("cluster", F.row_number().over(order) - 1), "km-best")
+    out = _nearest(z, best.drop("cluster"))
+    return out.join(best.select("client_id", "cid", "cluster"), ["client_id", "cid"]).select("client_id", "lat", "lon", "weight", "cluster")
+
+
+def _nearest(points: DataFrame, cents: DataFrame) -> DataFrame:
+    """Each point once per run with its nearest centre ``cid`` (ties: the smaller) and its squared distance ``d``.
+
+    A client's centres are one array (runs x clusters entries) that is joined to its points, so the choice
+    is made row by row and no point-centre pairs are shuffled."""
+    sets = cents.groupBy("client_id", "run").agg(F.sort_array(F.collect_list(F.struct("cid", "cx", "cy"))).alias("cs"))
+    sets = sets.groupBy("client_id").agg(F.collect_list(F.struct("run", "cs")).alias("sets"))
+    j = points.join(sets, "client_id")
+    near = F.transform("sets", lambda s: F.struct(s["run"].alias("run"), F.array_min(F.transform(
+        s["cs"], lambda c: F.struct(_d2(F.col("x"), F.col("y"), c["cx"], c["cy"]).alias("d"), c["cid"].alias("cid")))).alias("b")))
+    return j.select(*points.columns, F.explode(near).alias("n")).select(*points.columns, "n.run", "n.b.d", "n.b.cid")
 
 
 def movement_patterns(points: DataFrame, k: int = N_CLUSTERS) -> tuple[DataFrame, DataFrame]:
