@@ -180,8 +180,8 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
     seg = segments(texts, size, classes)
     of_a = seg.select(F.col("id").alias("a"), F.col("s1").alias("as1"), "f", F.col("seg").alias("a_seg"))
     of_b = seg.select(F.col("id").alias("b"), F.col("s1").alias("bs1"), "f", F.col("seg").alias("b_seg"))
-    part = (pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(RARE_FRAGMENTS + 30))))
-            .join(of_a, ["a", "as1", "f"]).join(of_b, ["b", "bs1", "f"]))
+    # a pair meets the fragments that its first set has, and of them those that its second one has too
+    part = pairs.join(of_a, ["a", "as1"]).join(of_b, ["b", "bs1", "f"])
     return (part.select("a", "as1", "an", "b", "bs1", "bn", F.size(F.array_intersect("a_seg", "b_seg")).cast("long").alias("part"))
             .groupBy("a", "as1", "an", "b", "bs1", "bn").agg(F.sum("part").alias("common")))
 
