@@ -46,7 +46,7 @@ class DayTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], time: str,
-                 prefer: Sequence[str] | None = None, buckets: int = 16):
+                 prefer: Sequence[str] | None = None, buckets: int = 4):
         if time not in key:
             raise ValueError("the column that gives the day must be part of the key")
         self.spark, self.path, self.schema, self.key, self.time = spark, path, schema, list(key), time
