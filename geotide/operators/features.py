@@ -8,6 +8,7 @@ windows and padded per-client sequences, plus a Pandas-UDF hook for scoring.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,9 +39,7 @@ def activity_one_hot(activity) -> list[Column]:
 def _placeholder(df: DataFrame, lat: str, lon: str, ts: Column, rank: int) -> DataFrame:
     return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"),
-        (F.coalesce(F.hour(ts), F.lit(0)) / F.lit(23.0)).alias("hour"), F.lit(0.0).alias("speed"),
-        F.lit(0.0).alias("elevation"), F.lit(0).alias("act_walk"), F.lit(0).alias("act_vehicle"),
-        F.lit(0).alias("act_stationary"), F.lit(1).alias("act_unknown"), ts.alias("timestamp"),
+        (F.coalesce(F.hour(ts), F.lit(0)) / F.lit(23.0)).alias("hour"), ts.alias("timestamp"),
         F.lit(rank).alias("source_rank"))
 
 
@@ -68,8 +67,13 @@ def training_vectors(patterns: DataFrame, pois: DataFrame, predicted: DataFrame,
                  (F.coalesce(F.hour(ts), F.lit(0)) / F.lit(23.0)).alias("hour"),
                  F.col("p.speed").alias("speed"), F.col("p.elevation").alias("elevation"),
                  *activity_one_hot(F.col("p.activity")), ts.alias("timestamp"), F.lit(len(sources)).alias("source_rank"))
-    for rank, (df, lat, lon, time) in enumerate(sources):
-        u = u.unionByName(_placeholder(df, lat, lon, time, rank))
+    # of a source without features only the earliest row counts: times alone are aggregated in place, where
+    # whole rows would be sorted by every task that reads the source
+    places = reduce(DataFrame.unionByName, [_placeholder(df, lat, lon, time, rank) for rank, (df, lat, lon, time) in enumerate(sources)])
+    places = places.where(F.col("timestamp").isNotNull()).groupBy("lat", "lon", "hour", "source_rank").agg(F.min("timestamp").alias("timestamp"))
+    u = u.unionByName(places.select(
+        "lat", "lon", "hour", F.lit(0.0).alias("speed"), F.lit(0.0).alias("elevation"), F.lit(0).alias("act_walk"), F.lit(0).alias("act_vehicle"),
+        F.lit(0).alias("act_stationary"), F.lit(1).alias("act_unknown"), "timestamp", "source_rank"))
     rest = [c for c in FEATURES if c not in ("lat", "lon", "hour")]
     g = u.where(F.col("timestamp").isNotNull()).groupBy("lat", "lon", "hour") \
         .agg(F.min(F.struct("timestamp", "source_rank", *rest)).alias("__m"))

@@ -66,3 +66,16 @@ def test_scalers(spark):
     assert sorted(round(r["x"], 9) for r in back.collect()) == [1.0, 3.0, 10.0]
     per = {r["client_id"]: (r["x_mean"], r["x_std"], r["y_std"]) for r in ft.key_scaler(df, "client_id", ["x", "y"]).collect()}
     assert per == {"a": (2.0, 1.0, 1.0), "b": (10.0, 1.0, 1.0)}
+
+
+def test_trajectory_tasks_do_not_grow(spark, tmp_path, monkeypatch):
+    """More telemetry makes more tasks of the sort and the gathering of sessions, not larger ones."""
+    from geotide.sources import bindings
+    monkeypatch.setattr(bindings, "POINTS_PER_TASK", 40)
+    rows = [(k, T0 + dt.timedelta(minutes=k), k % 50, ("click", "view", "signup")[k % 3], float(k), "{}") for k in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    tracks = bindings.MobilityTables(spark, str(tmp_path)).trajectories
+    assert tracks.rdd.getNumPartitions() == 10
+    # a user's session starts with the first event and lasts six hours
+    assert sum(len(r["trajectory"]) for r in tracks.collect()) == sum(k - k % 50 <= 360 for k in range(400))
