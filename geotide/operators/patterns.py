@@ -11,6 +11,8 @@ invariants do), and the run of least inertia wins per client.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,21 +68,27 @@ def kmeans_per_client(points: DataFrame, k: int = N_CLUSTERS, max_iter: int = MA
         pick = _nearest(z, cents).where(F.col("d") > 0).groupBy(*key).agg(F.min(F.struct(race.alias("r"), "x", "y")).alias("m"))
         new = pick.select(*key, F.lit(i).alias("cid"), F.col("m.x").alias("cx"), F.col("m.y").alias("cy"))
         cents = materialize(cents.unionByName(new), "km-seed")
-    # Lloyd iterations (all clients and runs together): only sums per centre are shuffled
+    # Lloyd iterations (all clients and runs together): only sums per centre are shuffled, and only runs that
+    # still move go on, so the rounds of the slowest run do not repeat the work of the others
+    live, settled = cents, []
     for _ in range(max_iter):
-        wsum = _nearest(z, cents).groupBy(*key, "cid").agg(
+        wsum = _nearest(z, live).groupBy(*key, "cid").agg(
             (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("nx"),
             (F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("ny"))
         # sums in another order may differ in the last digits: that is no movement
         moved = (F.abs(F.coalesce("nx", "cx") - F.col("cx")) > 1e-12) | (F.abs(F.coalesce("ny", "cy") - F.col("cy")) > 1e-12)
-        new = materialize(cents.join(wsum, key + ["cid"], "left").select(
-            *key, "cid", F.coalesce("nx", "cx").alias("cx"), F.coalesce("ny", "cy").alias("cy"),
-            moved.alias("moved")), "km-iter")
-        cents = new.select(*key, "cid", "cx", "cy")
-        if new.where(F.col("moved")).isEmpty():
+        new = live.join(wsum, key + ["cid"], "left").select(
+            *key, "cid", F.coalesce("nx", "cx").alias("cx"), F.coalesce("ny", "cy").alias("cy"), moved.alias("moved"))
+        new = materialize(new.withColumn("moved", F.max("moved").over(Window.partitionBy(*key))), "km-iter")
+        settled.append(new.where(~F.col("moved")).drop("moved"))
+        live = new.where("moved").drop("moved")
+        if live.isEmpty():
             break
+        if len(settled) == 10:  # a plan of few parts
+            settled = [materialize(reduce(DataFrame.unionByName, settled), "km-settled")]
     else:
         raise RuntimeError(f"k-means still moves after {max_iter} rounds; allow more by max_iter")
+    cents = materialize(reduce(DataFrame.unionByName, settled), "km-settled")
     # best run per client by inertia, clusters numbered by centre position
     inertia = _nearest(z, cents).groupBy(*key).agg(F.sum(F.col("d") * F.col("weight")).alias("inertia"))
     win = inertia.groupBy("client_id").agg(F.min(F.struct("inertia", "run")).alias("w")) \

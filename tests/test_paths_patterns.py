@@ -101,3 +101,21 @@ def test_labels_too_far_from_a_reached_goal_are_not_followed(spark, monkeypatch)
     row = shortest_paths(req, nodes, edges).first()
     assert (row["origin_node"], row["goal_node"], len(row["path"])) == (0, 1, 2)
     assert 0 < calls.value < 300
+
+
+def test_settled_runs_rest_while_others_move(spark, monkeypatch):
+    """Later rounds of k-means take the centres of runs that still move, and the end has all of them."""
+    from geotide.operators import patterns
+    seen, real = [], patterns._nearest
+
+    def nearest(points, cents):
+        seen.append(cents.count())
+        return real(points, cents)
+
+    monkeypatch.setattr(patterns, "_nearest", nearest)
+    r = random.Random(3)
+    rows = [("still", 59.0 + k, 18.0 + k) for k in (0, 0, 1, 1)] + [("moving", 59 + r.random(), 18 + r.random()) for _ in range(80)]
+    out = kmeans_per_client(spark.createDataFrame(rows, "client_id string, lat double, lon double"), k=2).collect()
+    assert {(x["client_id"], x["cluster"]) for x in out} == {("still", 0), ("still", 1), ("moving", 0), ("moving", 1)}
+    assert seen[1] == 40 and min(seen[2:-2]) <= 20  # after the seeding: two clients, ten runs, two centres
+    assert seen[-2] == 40
