@@ -14,6 +14,8 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -184,23 +186,27 @@ def confirmed(rows: DataFrame, anchored, size: int, run: int) -> DataFrame:
     return places.join(first, "p").select("shard", "p", "id", "start", "len", F.col("f.id").alias("f_id"), F.col("f.start").alias("f_start"))
 
 
-def _compile(patterns: pa.Table, w: Words, numbers: np.ndarray, ids: np.ndarray):
-    """Automaton over the word numbers of a shard; the words of a phrase are read at its place in the shard."""
+def _compile(patterns: pa.Table, w: Words, numbers: list[int], ids: np.ndarray):
+    """Automaton over the word numbers of a shard; the words of a phrase are read at its first place in the shard."""
     machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     total, back = running(w.hash)
     order = np.argsort(ids, kind="stable")
     name, at, length, p, f_id, f_start = (patterns[c].to_numpy() for c in ("id", "start", "len", "p", "f_id", "f_start"))
     lo, hi = (np.searchsorted(ids[order], name, side=s) for s in ("left", "right"))
-    p = p.view(_U)
-    for k in range(len(name)):
-        for doc in order[lo[k]:hi[k]]:  # several only where texts share an id
-            a = int(w.first[doc]) + int(at[k])
-            b = a + int(length[k])
-            if b <= w.first[doc + 1] and mix((total[b:b + 1] - total[a:a + 1]) * back[a:a + 1])[0] == p[k]:
-                key = tuple(numbers[a:b].tolist())
-                first = (int(f_id[k]), int(f_start[k]))
-                machine.add_word(key, min((len(key), *first), machine.get(key, (len(key), *first))))
-                break
+    many = hi - lo  # more than one only where texts share an id
+    k = np.repeat(np.arange(len(name)), many)
+    doc = order[np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + lo[k]]
+    a = w.first[doc] + at[k]
+    b = a + length[k]
+    inside = b <= w.first[doc + 1]
+    k, a, b = k[inside], a[inside], b[inside]
+    p = p.view(_U)[k]
+    same = mix((total[b] - total[a]) * back[a]) == p
+    k, a, b = k[same], a[same], b[same]
+    _, pick = np.unique(p[same], return_index=True)  # a phrase has one first place, wherever it stands
+    k, a, b = k[pick], a[pick], b[pick]
+    for i, j, *first in zip(a.tolist(), b.tolist(), f_id[k].tolist(), f_start[k].tolist()):
+        machine.add_word(tuple(numbers[i:j]), (j - i, *first))
     machine.make_automaton()
     return machine
 
@@ -208,27 +214,29 @@ def _compile(patterns: pa.Table, w: Words, numbers: np.ndarray, ids: np.ndarray)
 def _stream(size: int, docs: pa.Table, patterns: pa.Table) -> pa.Table:
     """One shard: compile its phrases, stream its documents, and say which words go."""
     docs = docs.combine_chunks()
-    raw = [t.as_py() for t in docs["text"]]
     out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256")}
     for _, _, data, at in chunks(docs["text"], 1 << 62):  # the whole shard at once
         w = words(data, at)
-        numbers = np.unique(w.hash, return_inverse=True)[1] + 1
+        numbers = (np.unique(w.hash, return_inverse=True)[1] + 1).tolist()
         ids = docs["id"].to_numpy()
         machine = _compile(patterns, w, numbers, ids) if len(patterns) else None
-        for k, doc_id in enumerate(docs["doc_id"].to_pylist()):
-            a, b = int(w.first[k]), int(w.first[k + 1])
-            here = int(ids[k])
-            kept = (raw[k] or "").encode().split()
-            gone = np.zeros(b - a + 1, dtype=np.int64)
+        first, byte = w.first.tolist(), at.tolist()
+        for k, (doc_id, here) in enumerate(zip(docs["doc_id"].to_pylist(), ids.tolist())):
+            a, b = first[k], first[k + 1]
+            kept = data[byte[k]:byte[k + 1]].tobytes().split()
+            gone = []
             if machine is not None and len(machine) and b - a >= size:
-                for end, (length, f_id, f_start) in machine.iter(tuple(numbers[a:b].tolist())):
+                for end, (length, f_id, f_start) in machine.iter(tuple(numbers[a:b])):
                     if (f_id, f_start) < (here, end - length + 1):  # an earlier place has the same words
-                        gone[end - length + 1] += 1
-                        gone[end + 1] -= 1
-            lost = np.cumsum(gone[:-1]) > 0
-            if lost.any():
-                kept = [x for x, y in zip(kept, lost.tolist()) if not y]
-            for c, v in zip(out, (doc_id, b - a, int(lost.sum()), hashlib.sha256(b" ".join(kept)).hexdigest())):
+                        gone.append((end - length + 1, end + 1))
+            n_lost = 0
+            if gone:
+                begin, end = np.array(gone).T
+                step = np.bincount(begin, minlength=b - a + 1) - np.bincount(end, minlength=b - a + 1)
+                stays = np.cumsum(step[:-1]) == 0
+                n_lost = b - a - int(np.count_nonzero(stays))
+                kept = compress(kept, stays.tolist())
+            for c, v in zip(out, (doc_id, b - a, n_lost, hashlib.sha256(b" ".join(kept)).hexdigest())):
                 out[c].append(v)
     return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()),
                      "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
