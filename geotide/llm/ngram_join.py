@@ -4,7 +4,7 @@ Every text is the set of its distinct word shingles.  Shingles have one global o
 frequency class and then by hash, which is cut into fragments.  A pair of sets can reach the
 threshold only if the two share one of their first shingles in that order; such pairs are opened
 there, every fragment counts the overlap of its own segments, and the partial counts are summed per
-pair.  Texts with equal sets are one set; a first round opens only pairs with the smallest set of
+pair.  First shingles that the same sets have open the same pairs, so the earliest stands for them all.  Texts with equal sets are one set; a first round opens only pairs with the smallest set of
 each shingle, and the last one pairs sets that are still in different components, so a large group
 of near copies costs about its size and not its square.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotide.llm.bitmaps import bitmap, in_bitmap, upper_half
@@ -186,6 +186,23 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
             .groupBy("a", "as1", "an", "b", "bs1", "bn").agg(F.sum("part").alias("common")))
 
 
+def earliest_shared(tokens: DataFrame) -> DataFrame:
+    """(t, c, q): of the shingles of ``tokens`` (id, s1, n, i, t) that the same two or more sets have, the earliest in the
+    order, its first set and how many they are.
+
+    Two sets' first common shingle is always such an earliest one.  Equal lists of sets have equal counts, sums and
+    exclusive ors of 128 bits of hashes; a set that comes twice counts twice in each of its lists.
+    """
+    h = F.xxhash64("s1", "id")
+    low = F.lit((1 << 32) - 1).cast("long")
+    lists = tokens.groupBy("t").agg(
+        F.min(F.struct("id", "s1", "n", "i")).alias("c"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id", "s1")).alias("w"),
+        F.sum(h.bitwiseAND(low)).alias("v1"), F.sum(F.shiftrightunsigned(h, 32)).alias("v2")).where("k > 1")
+    # the first set is the same in all of them, so the least c has the earliest place
+    return (lists.groupBy("k", "w", "v1", "v2").agg(F.min(F.struct("c", "t")).alias("e"), F.count(F.lit(1)).alias("q"))
+            .select("e.t", "e.c", "q"))
+
+
 def linked(counted: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     num, den = threshold
     return counted.where(den * F.col("common") >= num * (F.col("an") + F.col("bn") - F.col("common")))
@@ -211,8 +228,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = named.join(groups.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi")
     tokens = (reps.select("id", "s1", "n", F.explode(F.arrays_zip("place", "prefix")).alias("e"))
               .select("id", "s1", "n", F.col("e.place").cast("int").alias("i"), F.col("e.prefix").alias("t")))
-    star = tokens.groupBy("t").agg(F.min(F.struct("id", "s1", "n", "i")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared = materialize(tokens.join(star, "t").select("t", "i", "id", "s1", "n", "c"), "shared")
+    shared = materialize(tokens.join(earliest_shared(tokens), "t").select("t", "i", "id", "s1", "n", "c", "q"), "shared")
 
     def least(x, y):  # common shingles that a pair of these sizes needs
         return F.ceil(F.lit(num) * (x + y) / F.lit(num + den)).cast("long")
@@ -225,16 +241,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return [F.col(f"{v}.{c}").alias(w) for v, ws in ((x, ("a", "as1", "an")), (y, ("b", "bs1", "bn")))
                 for c, w in zip(("id", "s1", "n"), ws)]
 
+    def spare(n, m):  # common first shingles that a pair which reaches the threshold must have
+        return F.least(*[least(n, m) - F.ceil(F.lit(num) * x / F.lit(den)).cast("long") + 1 for x in (n, m)])
+
     def likely(pairs):
         """Pairs with as many common first shingles as those that reach the threshold must have."""
-        spare = [n - F.ceil(F.lit(num) * n / F.lit(den)).cast("long") + 1 - (n - least(F.col("an"), F.col("bn")))
-                 for n in (F.col("an"), F.col("bn"))]
         pairs = materialize(pairs, "likely")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         of = only_ids(sets.select("id", "s1", "prefix"), "id", ids).dropDuplicates(["id", "s1"])
         both = (pairs.join(of.select(F.col("id").alias("a"), F.col("s1").alias("as1"), F.col("prefix").alias("ap")), ["a", "as1"])
                 .join(of.select(F.col("id").alias("b"), F.col("s1").alias("bs1"), F.col("prefix").alias("bp")), ["b", "bs1"]))
-        return both.where(F.size(F.array_intersect("ap", "bp")) >= F.least(*spare)).select(pairs.columns)
+        return both.where(F.size(F.array_intersect("ap", "bp")) >= spare(F.col("an"), F.col("bn"))).select(pairs.columns)
 
     first = shared.select(F.struct("t", "i", "id", "s1", "n").alias("x"), F.col("c").alias("y"))
     first = first.where((F.col("x.id") != F.col("y.id")) | (F.col("x.s1") != F.col("y.s1"))).where(meet("x", "y"))
@@ -243,13 +260,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     close = materialize(linked(overlaps(first, docs, id_col, text_col, size, classes), threshold).select("a", "b"), "links")
     label = components(close.select(F.col("a").alias("u"), F.col("b").alias("v")).union(copies))
     known = shared.drop("c").join(label, F.col("id") == F.col("node"), "left").select(
-        "t", "i", "id", "s1", "n", F.coalesce("component", "id").alias("l"))
+        "t", "i", "id", "s1", "n", "q", F.coalesce("component", "id").alias("l"))
     mixed = known.groupBy("t").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo < hi").select("t")
-    known = materialize(known.join(mixed, "t", "left_semi"), "mixed")
+    # r: a set's first shingles from this one on that other components have too; from its first common one on, a pair has no others
+    rest = Window.partitionBy("id", "s1").orderBy(F.desc("i"))
+    known = materialize(known.join(mixed, "t", "left_semi").withColumn("r", F.sum("q").over(rest)), "mixed")
     # of a pair the smaller set (the smaller id of equal sizes) has the shingle among its very first
     x, y = known.alias("x"), known.where(F.col("i") <= F.col("n") - least(F.col("n"), F.col("n"))).alias("y")
     smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
-    later = (x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.l") != F.col("y.l")) & smaller & meet("x", "y"))
+    enough = F.least("x.r", "y.r") >= spare(F.col("x.n"), F.col("y.n"))
+    later = (x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.l") != F.col("y.l")) & smaller & meet("x", "y") & enough)
              .select(*pair("y", "x"), F.col("y.l").alias("al"), F.col("x.l").alias("bl")).distinct())
     key = ["a", "as1", "b", "bs1"]
     # a pair of the first round that failed may come again either way round
