@@ -35,6 +35,8 @@ SKETCH_BITS = 22
 LOCAL_BYTES = 32 << 20
 #: Counts up to this are one class: rare.
 RARE = 8
+#: Earlier shingles that a row of the last round brings along, to tell a pair that has met before.
+EARLIER = 8
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,12 +266,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = known.groupBy("t").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo < hi").select("t")
     # r: a set's first shingles from this one on that other components have too; from its first common one on, a pair has no others
     rest = Window.partitionBy("id", "s1").orderBy(F.desc("i"))
-    known = materialize(known.join(mixed, "t", "left_semi").withColumn("r", F.sum("q").over(rest)), "mixed")
+    known = known.join(mixed, "t", "left_semi").withColumn("r", F.sum("q").over(rest))
+    # b: the ones just before it; a pair that shares one of them has met there, since all other conditions hold earlier too
+    known = materialize(known.withColumn("b", F.collect_list("t").over(rest.rowsBetween(1, EARLIER))), "mixed")
     # of a pair the smaller set (the smaller id of equal sizes) has the shingle among its very first
     x, y = known.alias("x"), known.where(F.col("i") <= F.col("n") - least(F.col("n"), F.col("n"))).alias("y")
     smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
     enough = F.least("x.r", "y.r") >= spare(F.col("x.n"), F.col("y.n"))
-    later = (x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.l") != F.col("y.l")) & smaller & meet("x", "y") & enough)
+    fresh = ~F.arrays_overlap("x.b", "y.b")
+    later = (x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.l") != F.col("y.l")) & smaller & meet("x", "y") & enough & fresh)
              .select(*pair("y", "x"), F.col("y.l").alias("al"), F.col("x.l").alias("bl")).distinct())
     key = ["a", "as1", "b", "bs1"]
     # a pair of the first round that failed may come again either way round
