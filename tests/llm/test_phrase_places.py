@@ -26,9 +26,14 @@ def test_a_phrase_is_compiled_once_per_shard(monkeypatch):
             added.append((key, value))
             return self.of.add_word(key, value)
 
+        def __len__(self):
+            return len(self.of)
+
         def __getattr__(self, name):
             return getattr(self.of, name)
 
     monkeypatch.setattr(substring_dedup.ahocorasick, "Automaton", Spy)
-    substring_dedup._compile(patterns, w, numbers.tolist(), ids)
+    docs = pa.table({"id": ids, "text": texts, "doc_id": ids})
+    out = substring_dedup._stream(20, docs, patterns).to_pydict()
     assert added == [(tuple(numbers[:25].tolist()), (25, 0, 0))]
+    assert out["n_words"] == [k + 26 for k in range(30)] and out["n_removed"] == [0] + [25] * 29
