@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotide.llm.bitmaps import bitmap, in_bitmap, upper_half
-from geotide.llm.shared import components, in_arrow, only_ids
+from geotide.llm.shared import components, give_back, in_arrow, only_ids
 from geotide.llm.words import chunks, mix, sequences, words
 from geotide.session import materialize
 
@@ -81,9 +81,9 @@ def frequency_classes(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     fixed; it decides only the order of shingles, never which pairs are found.
     """
     rows = in_arrow(docs.select(F.col(text_col).alias("text")), lambda b: _sketch(size, b), "bucket long, n long")
-    counts = rows.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > RARE).toPandas()  # 2**SKETCH_BITS rows at most
+    counts = rows.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > RARE).toArrow()  # 2**SKETCH_BITS rows at most
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    out[counts["bucket"].to_numpy(dtype=np.int64)] = np.minimum(31, np.log2(counts["n"].to_numpy(dtype=float) / RARE).astype(int) + 1)
+    out[counts["bucket"].to_numpy()] = np.minimum(31, np.log2(counts["n"].to_numpy() / RARE).astype(int) + 1)
     return out
 
 
@@ -223,7 +223,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = spark.sparkContext.broadcast(frequency_classes(docs, text_col, size))  # 2**SKETCH_BITS bytes
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     recurring = spark.sparkContext.broadcast(recurring_shingles(rows, size, classes, threshold))  # 2**BITMAP_BITS bits
+    give_back()
     sets = materialize(shingle_sets(rows, size, classes, recurring, threshold), "sets")
+    recurring.destroy()  # the sets are written
     named = sets.where("n > 0 and id is not null")
     groups = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     copies = named.select("id", "s1", "s2").join(groups, ["s1", "s2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
@@ -282,6 +284,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     later = materialize(likely(later.join(tried, key, "left_anti")), "pairs")
     more = linked(overlaps(later.drop("al", "bl"), docs, id_col, text_col, size, classes), threshold).select(*key)
     joined = components(later.join(more, key).select(F.col("al").alias("u"), F.col("bl").alias("v")))
+    classes.destroy()  # all that reads texts is written
     final = (label.join(joined.select(F.col("node").alias("j"), F.col("component").alias("c2")), F.col("component") == F.col("j"), "left")
              .select("node", F.coalesce("c2", "component").alias("component")))
     alone = joined.join(label.select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_anti").select("node", "component")
